@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup_format", "dedup_history", "terms")
+MODULES = ("dedup_format", "dedup_history", "credentials", "terms")
 
 
 def queries() -> dict:
