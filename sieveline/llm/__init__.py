@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup_format", "dedup_history", "credentials", "terms")
+MODULES = ("dedup_format", "dedup_history", "credentials", "generated", "terms")
 
 
 def queries() -> dict:
