@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup_format", "dedup_history", "credentials", "generated", "terms", "tokenize")
+MODULES = ("dedup_format", "dedup_history", "credentials", "generated", "terms", "tokenize", "sentences")
 
 
 def queries() -> dict:
