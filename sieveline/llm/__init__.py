@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup_format", "dedup_history", "credentials", "generated", "terms", "tokenize", "sentences")
+MODULES = ("dedup_format", "dedup_history", "credentials", "generated", "terms", "tokenize", "mixing", "sentences")
 
 
 def queries() -> dict:
