@@ -82,7 +82,7 @@ def entropy(text: Column) -> Column:
     """Shannon entropy of a text in bits per character (D12), in array functions."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.size(chars))
-    return F.round(F.abs(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))), 6)
+    return F.abs(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
 def focus(ranges: DataFrame, name: str) -> DataFrame:

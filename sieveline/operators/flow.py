@@ -80,7 +80,7 @@ def definitions(lines: DataFrame, file: str = "file_id") -> DataFrame:
 
 def uses(lines: DataFrame, file: str = "file_id") -> DataFrame:
     """(file, line_no, ord, name) of the identifiers of lines, each once a line in order of appearance."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all("code", F.lit(r"\b([a-zA-Z_]\w*)\b"), F.lit(1)), lambda w: ~w.isin(NOT_VARIABLES) & (F.length(w) > 1)))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("code", F.lit(r"(?<![A-Za-z0-9_])([a-zA-Z_]\w*)"), F.lit(1)), lambda w: ~w.isin(NOT_VARIABLES) & (F.length(w) > 1)))
     return lines.select(file, "line_no", F.posexplode(words).alias("ord", "name"))
 
 

@@ -105,9 +105,9 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that is no node (join 15)."""
     ids = nodes.select("scan_id", "id").distinct()
-    ends = edges.select("scan_id", "pos", F.explode(F.array("source", "target")).alias("id"))
-    bad = ends.join(ids, ["scan_id", "id"], "left_anti").select("scan_id", "pos").distinct()
-    return edges.join(bad, ["scan_id", "pos"], "left_semi")
+    left, right = ids.withColumnRenamed("id", "source"), ids.withColumnRenamed("id", "target")
+    half = edges.join(left, ["scan_id", "source"], "left_semi").join(right, ["scan_id", "target"], "left_anti")
+    return edges.join(left, ["scan_id", "source"], "left_anti").unionByName(half)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

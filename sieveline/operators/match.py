@@ -36,7 +36,7 @@ def candidates(lines: DataFrame, rules: DataFrame, per_language: bool = True) ->
     usable = usable if per_language else usable.drop("language")
     beside = lines.join(F.broadcast(usable), "language") if per_language else lines.crossJoin(F.broadcast(usable))
     # The literal test stands first: Spark evaluates conjunctions from the left.
-    return beside.filter((F.col("literal").isNull() | F.contains(F.lower("line"), F.col("literal"))) & F.col("line").rlike(F.col("pattern")))
+    return beside.filter((F.col("literal").isNull() | F.contains(F.lower("line"), F.col("literal"))) & F.rlike("line", F.col("pattern")))
 
 
 def find_matches(lines: DataFrame, rules: DataFrame, per_language: bool = True, match_on: str = "raw", unit: str = "codepoint") -> DataFrame:

@@ -121,8 +121,8 @@ def report(findings: DataFrame, scan_id: Column) -> DataFrame:
     per = findings.withColumn("_scan", scan_id)
     maps = []
     for name, c in (("severity_breakdown", "severity"), ("category_breakdown", "category")):
-        n = per.groupBy("_scan", c).agg(F.count("*").alias("n"))
-        maps.append(n.groupBy("_scan").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(c, F.lit("")), "n")))).alias(name)))
+        n = per.groupBy("_scan", F.coalesce(c, F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+        maps.append(n.groupBy("_scan").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n")))).alias(name)))
     sums = per.groupBy("_scan").agg(F.count("*").alias("total_vulnerabilities"), F.countDistinct("rule_id").alias("rules_used"))
     whole = sums.join(maps[0], "_scan").join(maps[1], "_scan")
     body = F.struct(F.col("_scan").alias("scan_id"), F.struct("total_vulnerabilities", "severity_breakdown", "category_breakdown").alias("summary"), F.struct(F.lit(TOOL_VERSION).alias("tool_version"), "rules_used").alias("metadata"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.operators import nested
+from sieveline.operators import nested, report
+from sieveline.plans import graphs, ranges, reports, scan
 
-MODULES = (nested,)
+MODULES = (scan, reports, graphs, ranges, nested)
 
 
 
@@ -19,3 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
+
+
+def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files have which findings, worst first: the default rules over the source files."""
+    found = scan.default_matches(spark, sf_dir)
+    return report.ranked(found, "rule_id", "path", "line_no", "column_no").select("path", "rule_id", "severity", "line_no", "column_no", "matched", "dependency_file")
