@@ -305,22 +305,20 @@ def units(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tuple[
 
 
 # What a word's full stops say about it, counted over the corpus.
-EVIDENCE = "word string, stops bigint, ends bigint, small bigint, free bigint"
+EVIDENCE = "word string, stops bigint, ends bigint, small bigint, digits bigint, capitals bigint, free bigint"
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts per task: stops, stops that end a unit, stops before small letters, uses without a stop."""
-    stops: Counter[str] = Counter()
-    ends: Counter[str] = Counter()
-    small: Counter[str] = Counter()
-    free: Counter[str] = Counter()
+    """Partial counts per task: stops, those that end a unit, stand before small letters, before digits, or behind a
+    capitalised word, and uses without a stop."""
+    counters = stops, ends, small, digits, capitals, free = [Counter() for _ in range(6)]
 
     def out() -> pa.RecordBatch:
         words = list(stops.keys() | free.keys())
-        cols = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (stops, ends, small, free))]
-        for c in (stops, ends, small, free):
+        cols = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)]
+        for c in counters:
             c.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["word", "stops", "ends", "small", "free"])
+        return pa.RecordBatch.from_arrays(cols, names=["word", "stops", "ends", "small", "digits", "capitals", "free"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -337,6 +335,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     seen[w] += 1
                     stops[w] += 1
+                    capitals[w] += m[1][0].isupper()
+                    digits[w] += m[3].isdigit()
                     if m.end() == len(part) or not m[3]:
                         ends[w] += 1
                     elif (m[2].strip() and m[2][0] in ",;:") or (m[2] and _case(m[3]) == "l" and not CODE_START.match(part, m.end(2))):
@@ -350,10 +350,12 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_abbreviations(docs: DataFrame, text: str) -> DataFrame:
-    """(word): words whose full stop never ends a unit (of 50 or more), or is mostly before small letters (of 10)."""
+    """(word): words whose full stop never ends a unit (of 50 or more), while they are capitalised or mostly before small
+    letters and digits, or is mostly before small letters (of 10)."""
     told = docs.select(F.col(text)).filter(F.length(text) > 0).mapInArrow(_evidence, EVIDENCE)
-    sums = told.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("stops", "ends", "small", "free")))
-    never = (F.col("stops") >= 50) & (F.col("ends") <= 0.01 * F.col("stops"))
+    sums = told.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("stops", "ends", "small", "digits", "capitals", "free")))
+    telling = (F.col("capitals") >= 0.9 * F.col("stops")) | (F.col("small") + F.col("digits") >= 0.5 * F.col("stops"))
+    never = (F.col("stops") >= 50) & (F.col("ends") <= 0.01 * F.col("stops")) & telling
     mostly = (F.col("stops") >= 10) & (F.col("small") >= 0.5 * F.col("stops"))
     return sums.filter((never | mostly) & (F.col("free") <= 0.05 * F.col("stops"))).select("word")
 
