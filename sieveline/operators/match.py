@@ -17,17 +17,16 @@ from sieveline.functions.text import fingerprint, location, trim_all
 def spans(line: str, pattern: str, unit: str = "codepoint") -> Column:
     """Array of (column, matched) of all matches, columns 1-based in code points or bytes (E1, trap 1).
 
-    The gaps between matches and the matches themselves, laid end to end, give each match's place. Right for patterns
-    that can't match nothing.
+    The gaps between matches and the matches themselves, laid end to end, give each match's place, in one pass over both.
+    Right for patterns that can't match nothing.
     """
     length = "octet_length" if unit == "byte" else "length"
     return F.expr(f"""
-        transform(
-          sequence(0, size(regexp_extract_all({line}, {pattern}, 0)) - 1),
-          k -> struct(
-            cast(1 + aggregate(slice(split({line}, {pattern}, -1), 1, k + 1), 0, (a, g) -> a + {length}(g))
-                   + aggregate(slice(regexp_extract_all({line}, {pattern}, 0), 1, k), 0, (a, m) -> a + {length}(m)) as bigint) as column_no,
-            regexp_extract_all({line}, {pattern}, 0)[k] as matched))""")
+        aggregate(
+          filter(zip_with(split({line}, {pattern}, -1), regexp_extract_all({line}, {pattern}, 0), (g, m) -> struct(g, m)), x -> x.m is not null),
+          struct(1L as at, cast(array() as array<struct<column_no:bigint,matched:string>>) as found),
+          (a, x) -> struct(a.at + {length}(x.g) + {length}(x.m) as at, array_append(a.found, struct(a.at + {length}(x.g) as column_no, x.m as matched)) as found),
+          a -> a.found)""")
 
 
 def candidates(lines: DataFrame, rules: DataFrame, per_language: bool = True) -> DataFrame:

@@ -131,7 +131,9 @@ def compiled(rules: DataFrame, dialect: str = "java", flags: str = "") -> tuple[
     spark = rules.sparkSession
     java = spark.sparkContext._jvm.java.util.regex.Pattern
     good, bad = [], []
-    for r in rules.select("rule_id", F.lower("language").alias("language"), "pattern").limit(CATALOGUE_BOUND).toLocalIterator():
+    if rules.count() > CATALOGUE_BOUND:
+        raise ValueError(f"a catalogue of more than {CATALOGUE_BOUND} rules can't be broadcast; match it part by part")
+    for r in rules.select("rule_id", F.lower("language").alias("language"), "pattern").toLocalIterator():
         problem, empty = None, False
         if not r.pattern:
             problem = "no pattern"
