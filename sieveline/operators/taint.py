@@ -192,7 +192,8 @@ def weighted_taint(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, l
     per = reached.groupBy("scan_id", "source", "id").agg(F.max("confidence").alias("c"), F.min("cleaned").alias("cleaned"))
     steps = found.select("*", F.posexplode("path").alias("k", "id")).join(per, ["scan_id", "source", "id"])
     weighed = steps.groupBy("scan_id", "source", "sink", "path").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("w"), F.max("cleaned").alias("cleaned"))
-    scored = weighed.withColumn("confidence", path_confidence(F.col("w.c"))).drop("w")
+    whole = weighed.filter(F.size("w") == F.size("path"))  # a path over a node that taint doesn't reach is none
+    scored = whole.withColumn("confidence", path_confidence(F.col("w.c"))).drop("w")
     return best_paths(valid_paths(scored, threshold))
 
 

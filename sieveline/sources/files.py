@@ -36,7 +36,10 @@ def discover(files: DataFrame, path: str = "path", mode: str = "full", extension
 
 
 def read_folder(spark: SparkSession, folder: str, mode: str = "full") -> DataFrame:
-    """(path, content, size) of a folder tree; a single file with an unknown ending gives no row."""
+    """(path, content, size) of a folder tree; a single file with an unknown ending gives no row.
+
+    Spark's listing itself leaves out files and folders whose names begin with '.' or '_'.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return discover(files, "path", mode).select("path", text_of(F.col("content")).alias("content"), F.col("length").alias("size"))
 
