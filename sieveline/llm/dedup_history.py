@@ -81,7 +81,7 @@ class HashHistory:
         self.added: list[str] = []
 
     def _rows(self, keyed: DataFrame) -> DataFrame:
-        rows = hashes(keyed, self.block).repartition(self.buckets, "h1")
+        rows = hashes(keyed, self.block).repartition(self.buckets, "h1", "h2")
         return rows.groupBy("h1", "h2", "line").agg(F.min("finding_id").alias("accepted_id"))
 
     def build(self, keyed: DataFrame) -> None:
@@ -89,7 +89,7 @@ class HashHistory:
         path = scratch_path(self.spark, "history")
         self.base = path.rsplit("/", 1)[1].replace("-", "_")
         # The writer finds the rows hashed as the buckets want them: the aggregation's shuffle is the only one.
-        self._rows(keyed).write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", path).saveAsTable(self.base)
+        self._rows(keyed).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(self.base)
 
     def append(self, keyed: DataFrame) -> None:
         """Add the hashes of accepted records (finding_id, content, place, line)."""
@@ -101,7 +101,8 @@ class HashHistory:
         sides = [self.spark.table(self.base)] if self.base else []
         sides += [self.spark.read.schema(KEYS).parquet(*self.added).groupBy("h1", "h2", "line").agg(F.min("accepted_id").alias("accepted_id"))] if self.added else []
         sought = probes(keyed, self.block, self.tolerance)
-        hits = [sought.join(side, ["h1", "h2"]).filter(F.col("own").isNull() | (F.abs(F.col("own") - F.col("line")) <= self.tolerance)).select("finding_id", "accepted_id") for side in sides]
+        close = F.col("own").isNull() | (F.abs(F.col("own") - F.col("line")) <= self.tolerance)
+        hits = [sought.join(side, ["h1", "h2"]).filter(close).select("finding_id", "accepted_id") for side in sides]
         return reduce(DataFrame.unionByName, hits).groupBy("finding_id").agg(F.min("accepted_id").alias("accepted_id"))
 
 
