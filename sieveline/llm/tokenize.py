@@ -118,7 +118,7 @@ class Encoder:
         self.byte_ids, merges, self.texts = read_merges(name, folder)
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"bpe-{os.getpid()}")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # its queries are bounded, nothing is spilled
         rows = pa.table({k: pa.array(v, pa.int32()) for k, v in merges.items()})
         self.db.register("merge_rows", rows)
         self.db.execute("create table merges as select l, r, min(rank) as rank, arg_min(made, rank) as made from merge_rows group by l, r")
