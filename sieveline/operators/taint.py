@@ -42,9 +42,9 @@ def sinks(nodes: DataFrame) -> DataFrame:
     return last_by_id(nodes).filter((F.col("type") == "METHOD_CALL") & F.col("name").isin(SINKS) & (F.col("arguments") > 0))
 
 
-def reached_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def reached_sinks(nodes: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(scan_id, source, sink) of sinks in a source's part of the data flow, itself left out."""
-    met = reachable(data_flow(nodes, edges), sources(nodes))
+    met = reachable(data_flow(nodes, edges) if links is None else links, sources(nodes))
     return met.join(sinks(nodes).select("scan_id", "id"), ["scan_id", "id"], "left_semi").filter("source <> id").select("scan_id", "source", F.col("id").alias("sink"))
 
 
@@ -55,8 +55,8 @@ def taint(nodes: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
     rule is kept, so graphs that do show it get LOW.
     """
     links = cut(data_flow(nodes, edges), "data-flow")
-    both = links.unionByName(adjacency(edges)).distinct()
-    pairs = reached_sinks(nodes, edges)
+    both = cut(links.unionByName(adjacency(edges)).distinct(), "links-both")
+    pairs = cut(reached_sinks(nodes, edges, links), "pairs")
     goals = pairs.select("scan_id", F.col("sink").alias("id")).distinct()
     starts = pairs.select("scan_id", F.col("source").alias("id")).distinct()
     found = shortest_paths(both, starts, goals, limit).join(pairs, ["scan_id", "source", "sink"], "left_semi")
