@@ -50,7 +50,7 @@ HEADING = re.compile(r"[\s﻿]{0,4}#{1,6}(?:\s|$)")
 ITEM = re.compile(r"[\s﻿]*(?:[-*+•‣◦▪·–]|\(?\d{1,4}[.)]|\(?(?:[A-Za-z]|[ivx]{1,5})\))[ \t]+\S")
 RULER = re.compile(r"\s*(?:[-=_*]\s*){3,}$")
 WORD = re.compile(r"[^\W_]+(?:[.’'\-][^\W_]+)*", re.U)
-LAST_WORD = re.compile(r"[^\s(\[{«“„\"‘（「]*$")
+OPENING = frozenset("([{«“„\"‘（「")
 CODE_START = re.compile(r"[a-z_$][\w$]*(?:\.[\w$]+|\(|_|::|/[\w.])", re.A)
 SHORT_STOP = re.compile(r"\s([^\W\d_]{1,3})\.")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -124,14 +124,16 @@ class Reader:
     def abbreviations(self) -> frozenset[str]:
         if self._own is None:
             stopped: Counter[str] = Counter()
+            stops: Counter[str] = Counter()
             for m in STOPPED.finditer(self.text):
                 gap, nxt = m[2], m[3]
+                stops[m[1].lower()] += 1
                 if "\n" in gap and gap.count("\n") > 1:
                     continue
                 if (gap.strip() and gap[0] in ",;:") or (gap and nxt and _case(nxt) == "l" and not CODE_START.match(self.text, m.end(2))):
                     stopped[m[1].lower()] += 1
-            free = {w.lower() for w in WORD.findall(self.text)} if stopped else set()
-            bare = {w for w in stopped if w in free and re.search(rf"(?<![\w.]){re.escape(w)}(?![\w.])", self.text, re.I)}
+            words = Counter(WORD.findall(self.text.lower())) if stopped else {}
+            bare = {w for w in stopped if words.get(w, 0) > stops[w]}
             self._own = frozenset(stopped) - bare
         return self._own
 
@@ -145,7 +147,10 @@ class Reader:
         """Does a single full stop at `mark` end the sentence, when text goes on at `nxt` after white space?"""
         text, ch = self.text, self.text[nxt]
         kind = _case(ch)
-        word = LAST_WORD.search(text, max(start, mark - 60), mark)[0]
+        k = mark
+        while k > start and mark - k < 60 and text[k - 1] not in OPENING and not text[k - 1].isspace():
+            k -= 1
+        word = text[k:mark]
         word = re.split(r"[’'](?=[^\W\d_]{2})", word)[-1]
         low = word.lower().strip(".,;:")
         if m := re.search(r"([^\W\d_]{1,3})\.\s?$", text[max(start, mark - len(word) - 6) : mark - len(word)]):
@@ -313,7 +318,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     capitalised word, and uses without a stop."""
     counters = stops, ends, small, digits, capitals, free = [Counter() for _ in range(6)]
 
+    said: Counter[str] = Counter()
+
     def out() -> pa.RecordBatch:
+        for w, n in said.items():
+            if n > stops[w] and len(w) <= 12:
+                free[w] = n - stops[w]
+        said.clear()
         words = list(stops.keys() | free.keys())
         cols = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)]
         for c in counters:
@@ -328,12 +339,10 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if whole:
                     continue
                 part = text[start:end].rstrip()
-                seen: Counter[str] = Counter()
                 for m in STOPPED.finditer(part):
                     w = m[1].lower()
                     if len(w) > 12:
                         continue
-                    seen[w] += 1
                     stops[w] += 1
                     capitals[w] += m[1][0].isupper()
                     digits[w] += m[3].isdigit()
@@ -341,10 +350,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ends[w] += 1
                     elif (m[2].strip() and m[2][0] in ",;:") or (m[2] and _case(m[3]) == "l" and not CODE_START.match(part, m.end(2))):
                         small[w] += 1
-                for w, n in Counter(x.lower() for x in WORD.findall(part) if len(x) <= 12).items():
-                    if n > seen[w]:
-                        free[w] += n - seen[w]
-            if len(free) > 200_000:
+                said.update(WORD.findall(part.lower()))
+            if len(said) > 200_000:
                 yield out()
     yield out()
 
