@@ -129,14 +129,36 @@ def report(findings: DataFrame, scan_id: Column) -> DataFrame:
     return whole.select(F.col("_scan").alias("scan_id"), F.to_json(body).alias("report"))
 
 
-def summary_text(findings: DataFrame, key: str, *order: str, title: str = "Scan report", shown: int = 20) -> DataFrame:
-    """(key, text): a readable summary: header, levels that occur, and the first findings, numbered (sink 5).
+def summary_lines(findings: DataFrame, key: str, *order: str, detailed: bool = True) -> DataFrame:
+    """(key, k, text): every finding numbered within its key, worst first, as one row each (sink 5).
 
-    shown is the feature of a summary; the report itself holds all findings.
+    detailed: location, details, weakness, OWASP category and remediation on lines of their own, as the reference has them;
+    a weakness or category that isn't given has no line. Rows stay as small as a finding however hot a key is.
     """
+    place = W.partitionBy(key).orderBy(rank(F.col("severity")), *order)
+    numbered = findings.withColumn("k", F.row_number().over(place))
+    said = lambda c: F.coalesce(c, F.lit("?"))
+    head = F.concat(F.col("k").cast("string"), F.lit(". ["), F.col("severity"), F.lit("] "), said("rule_id"))
+    if not detailed:
+        return numbered.select(key, "k", F.concat(head, F.lit(" "), said("location")).alias("text"))
+    optional = [F.when(F.col(c) != "", F.concat(F.lit(f"   {label}: "), F.col(c))) for label, c in (("CWE", "cwe_id"), ("OWASP", "review_guidance"))]
+    always = [F.concat(F.lit(f"   {label}: "), said(c)) for label, c in (("Location", "location"), ("Details", "details"), ("Remediation", "remediation"))]
+    return numbered.select(key, "k", F.concat_ws("\n", head, *always[:2], *optional, always[2]).alias("text"))
+
+
+def summary_head(findings: DataFrame, key: str, title: str = "Scan report") -> DataFrame:
+    """(key, text): how many findings, and the levels that occur (sink 5)."""
     levels = F.concat_ws(", ", *(F.when(F.col(s) > 0, F.concat(F.lit(f"{s.upper()} "), F.col(s).cast("string"))) for s in map(str.lower, ORDER)))
     sums = findings.groupBy(key).agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ORDER))
-    place = W.partitionBy(key).orderBy(rank(F.col("severity")), *order)
-    first = findings.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= shown)
-    lines = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.col("k").cast("string"), F.lit(". ["), F.col("severity"), F.lit("] "), F.coalesce("rule_id", F.lit("?")), F.lit(" "), F.coalesce("location", F.lit("?"))).alias("t")))).alias("ls"))
-    return sums.join(lines, key).select(key, F.concat_ws("\n", F.concat(F.lit(f"{title}: "), F.col("n").cast("string"), F.lit(" findings")), levels, F.array_join(F.col("ls.t"), "\n")).alias("text"))
+    return sums.select(key, F.concat_ws("\n", F.concat(F.lit(f"{title}: "), F.col("n").cast("string"), F.lit(" findings")), levels).alias("text"))
+
+
+def summary_text(findings: DataFrame, key: str, *order: str, title: str = "Scan report", shown: int | None = None, detailed: bool = True) -> DataFrame:
+    """(key, text): a readable summary: header, levels that occur, and all findings, numbered (sink 5).
+
+    shown: only so many of them. A summary is one value; of keys too hot for that, summary_head and summary_lines are rows.
+    """
+    every = summary_lines(findings, key, *order, detailed=detailed)
+    first = every if shown is None else every.filter(F.col("k") <= shown)
+    lines = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("ls"))
+    return summary_head(findings, key, title).join(lines, key).select(key, F.concat_ws("\n", "text", F.array_join(F.col("ls.text"), "\n")).alias("text"))

@@ -124,8 +124,16 @@ def k1_finding_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k5_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The first three findings of each scan in short, as its SQL has them; k5_full_summaries has all."""
     rows = findings(spark, d).filter("scan_id is not null")
-    return report.summary_text(rows, "scan_id", "finding_id", shown=3)
+    return report.summary_text(rows, "scan_id", "finding_id", shown=3, detailed=False)
+
+
+def k5_full_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Every scan's whole summary, a row per numbered finding; the header is number 0."""
+    rows = findings(spark, d).filter("scan_id is not null")
+    head = report.summary_head(rows, "scan_id").select("scan_id", F.lit(0).alias("k"), "text")
+    return head.unionByName(report.summary_lines(rows, "scan_id", "finding_id"))
 
 
 def k3_directories(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +194,7 @@ def e8_event_fields(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a1_severity, a2_category, a1_breakdown, a3_files, a4_totals, a4_rules_loaded, a6_lines, a10_rule_categories, a11_compliance, a11_rule_compliance, a12_recommendations, a14_languages, a5_scan_levels, o1_ranked, o2_by_confidence, o3_top_files, o5_head,
-    o7_first_recommendations, o8_primary_file, f4_severity_tab, f5_of_job, k1_reports, k1_finding_documents, k5_summaries, k3_directories, k3_upsert, o4_history, f8_directory, k11_latest_state, k11_final_states, j16_completion, k10_cascade, a13_events, e8_event_fields,
+    o7_first_recommendations, o8_primary_file, f4_severity_tab, f5_of_job, k1_reports, k1_finding_documents, k5_summaries, k5_full_summaries, k3_directories, k3_upsert, o4_history, f8_directory, k11_latest_state, k11_final_states, j16_completion, k10_cascade, a13_events, e8_event_fields,
 )}
 
 _F = """
