@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.session import cut
+from sieveline.session import cut, scratch_path
 from sieveline.sources.graphs import last_by_id
 
 # The node and edge types of each view.
@@ -162,27 +162,28 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     return met.unionByName(mine.select("scan_id", "source", F.col("source").alias("id"))).distinct()
 
 
-def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit: int = 32) -> DataFrame:
+def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit: int | None = None) -> DataFrame:
     """(scan_id, source, sink, path) over directed links (G16): fewest steps, then the smallest identifiers on the way.
 
-    A frontier keeps one path per (source, node); nodes seen before are left out by an anti-join. `limit` bounds the
-    number of steps of a path, not of rows.
+    A frontier keeps one path per (source, node); nodes seen before are left out by an anti-join, so it ends by itself.
+    Each round's frontier is a folder of its own and all are read as one table, so plans don't grow with the rounds.
+    limit: paths of at most so many steps.
     """
-    seen = cut(starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")).distinct(), "frontier")
-    frontier, steps = seen, [seen]
-    for _ in range(limit):
+    spark, folders = links.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        folders.append(scratch_path(spark, "frontier"))
+        df.write.parquet(folders[-1])
+        return spark.read.schema(df.schema).parquet(folders[-1])
+
+    frontier = keep(starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")).distinct())
+    shape = frontier.schema
+    while (limit is None or len(folders) <= limit) and not frontier.isEmpty():
         nxt = frontier.join(links, (frontier.scan_id == links.scan_id) & (frontier["at"] == links.a)).select(frontier.scan_id, "source", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
         best = nxt.groupBy("scan_id", "source", "at").agg(F.min("path").alias("path"))
-        known = steps[0].select("scan_id", "source", "at")
-        for s in steps[1:]:
-            known = known.unionByName(s.select("scan_id", "source", "at"))
-        frontier = cut(best.join(known, ["scan_id", "source", "at"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        steps.append(frontier)
-    paths = steps[0]
-    for s in steps[1:]:
-        paths = paths.unionByName(s)
+        known = spark.read.schema(shape).parquet(*folders).select("scan_id", "source", "at")
+        frontier = keep(best.join(known, ["scan_id", "source", "at"], "left_anti"))
+    paths = spark.read.schema(shape).parquet(*folders)
     return paths.join(goals.select("scan_id", F.col("id").alias("at")).distinct(), ["scan_id", "at"], "left_semi").filter("source <> at").select("scan_id", "source", F.col("at").alias("sink"), "path")
 
 

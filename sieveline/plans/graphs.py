@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import language as lang
 from sieveline.operators import flow, graph, taint
 from sieveline.plans.scan import LINES_SQL, TRIM_SQL, scanned_lines
-from sieveline.session import load
+from sieveline.session import cut, load
 from sieveline.sources import graphs
 
 SPAN = 200
@@ -135,13 +135,21 @@ def g15_reached_sinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g16_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """Fewest steps between parameters and sinks over the mixed adjacency, of up to six steps."""
+    """Fewest steps between parameters and sinks over the mixed adjacency, of up to six steps, as its SQL has them; g16_all_shortest has all."""
     n, e = tables(spark, d)
     starts = taint.sources(n).filter("type = 'PARAMETER'")
     out = graph.shortest_paths(graph.adjacency(e), starts, taint.sinks(n), 6)
     return out.select("scan_id", "source", "sink", (F.size("path") - 1).cast("bigint").alias("steps"))
 
 
+def g16_all_shortest(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest path from every source to every sink it leads to, over the mixed adjacency and the data flow."""
+    n, e = tables(spark, d)
+    links = cut(graph.adjacency(e).unionByName(graph.data_flow(n, e)).distinct(), "links-both")
+    out = graph.shortest_paths(links, taint.sources(n), taint.sinks(n))
+    return out.select("scan_id", "source", "sink", (F.size("path") - 1).cast("bigint").alias("steps"), F.array_join("path", ">").alias("path"))
+
+
 def g17_taint(spark: SparkSession, d: str) -> DataFrame:
     out = taint.taint(*tables(spark, d), 12)
     return out.select("scan_id", "source", "sink", "sink_name", "severity", (F.size("path") - 1).cast("bigint").alias("steps"), F.array_join("path", ">").alias("path"))
@@ -257,7 +265,7 @@ QUERIES = {
     "g1_cfg_view": _view("cfg"), "g2_cfg_wide_view": _view("cfg_wide"), "g4_dfg_view": _view("dfg"), "g5_ast_view": _view("ast"),
 } | {f.__name__: f for f in (
     g3_closed_edges, g3_full_cfg, g7_sequential, g8_branches, g10_calls, g11_catches, a8_statistics, j15_orphans, x13_last_nodes, x13_names, proj09_call_flags, proj10_sql_literals, s8_ingest, proj04_graph_language, g12_adjacency, g13_data_flow, g14_components, g15_reached_sinks,
-    g16_shortest, g17_taint, f13_names, f14_weights, g18_flow, g19_weighted_reach, x15_weighted_taint, g22_line_cfg, g22_line_cfg_edges, proj18_line_types, e3_definitions, e4_uses, g23_line_dfg, a15_variables, j8_declarations, j13_sensitive_uses, j14_unreachable, s17_pseudo_ast,
+    g16_shortest, g16_all_shortest, g17_taint, f13_names, f14_weights, g18_flow, g19_weighted_reach, x15_weighted_taint, g22_line_cfg, g22_line_cfg_edges, proj18_line_types, e3_definitions, e4_uses, g23_line_dfg, a15_variables, j8_declarations, j13_sensitive_uses, j14_unreachable, s17_pseudo_ast,
     g24_ast_flow, f10_semantics, x7_composition, k8_dot,
 )}
 

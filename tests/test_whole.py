@@ -1,7 +1,9 @@
 """Operators do their whole job: nothing ends at a number of rows, steps or rounds that the job doesn't set."""
 
-from sieveline.operators import report
-from sieveline.plans import reports
+from collections import deque
+
+from sieveline.operators import graph, report
+from sieveline.plans import graphs, reports
 
 
 def test_summaries_list_every_finding(spark):
@@ -19,3 +21,54 @@ def test_full_summaries_number_what_the_table_holds(spark):
     n = reports.findings(spark, d).filter("scan_id is not null").groupBy("scan_id").count().collect()
     out = reports.k5_full_summaries(spark, d).collect()
     assert sorted((r.scan_id, r.k) for r in out) == sorted((x["scan_id"], k) for x in n for k in range(x["count"] + 1))
+
+
+def searched(links, starts, goals):
+    """{(scan, source, sink): steps} by breadth-first search."""
+    near, out = {}, {}
+    for g, a, b in links:
+        near.setdefault((g, a), set()).add(b)
+    for g, s in starts:
+        far, todo = {s: 0}, deque([s])
+        while todo:
+            x = todo.popleft()
+            for y in near.get((g, x), ()):
+                if y not in far:
+                    far[y] = far[x] + 1
+                    todo.append(y)
+        out |= {(g, s, x): k for x, k in far.items() if (g, x) in goals and x != s}
+    return out
+
+
+def test_shortest_paths_have_no_bound(spark):
+    links = [(1, k, k + 1) for k in range(34)] + [(1, 3, 2), (2, 0, 5)]
+    frame = spark.createDataFrame(links, "scan_id int, a bigint, b bigint")
+    ends = spark.createDataFrame([(1, 0), (1, 34), (2, 0), (2, 5)], "scan_id int, id bigint")
+    out = graph.shortest_paths(frame, ends, ends).collect()
+    assert sorted((r.scan_id, r.source, r.path) for r in out) == [(1, 0, list(range(35))), (2, 0, [0, 5])]
+    assert [r.scan_id for r in graph.shortest_paths(frame, ends, ends, 2).collect()] == [2]
+
+
+def test_all_shortest_against_search(spark):
+    d = "/root/testdata/sf0.001"
+    n, e = (t.collect() for t in graphs.tables(spark, d))
+    last = {(r.scan_id, r.id): r for r in sorted(n, key=lambda r: r.pos)}
+    links = {(r.scan_id, r.source, r.target) for r in e if r.type in graph.FORWARD} | {(r.scan_id, r.target, r.source) for r in e if r.type in graph.BACKWARD}
+    flow = {(r.scan_id, r.source, r.target) for r in e if r.type == "DATA_FLOW"}
+    methods = {}
+    for (g, i), r in last.items():
+        if r.type == "METHOD":
+            methods.setdefault((g, r.name), []).append(i)
+    for r in e:
+        if r.type == "INVOKES" and (c := last.get((r.scan_id, r.target))) and c.type == "METHOD_CALL":
+            flow |= {(r.scan_id, r.source, m) for m in methods.get((r.scan_id, c.name), ())}
+    links |= flow | {(g, b, a) for g, a, b in flow}
+    starts = {k for k, r in last.items() if r.type == "PARAMETER" or (r.type == "METHOD_CALL" and r.name in ("getParameter", "readLine", "getInputStream", "nextLine", "read"))}
+    goals = {k for k, r in last.items() if r.type == "METHOD_CALL" and r.arguments > 0 and r.name in ("executeQuery", "println", "print", "info", "debug", "warn", "error", "log", "severe", "warning")}
+    want = searched(links, starts, goals)
+    out = graphs.g16_all_shortest(spark, d).collect()
+    assert {(r.scan_id, r.source, r.sink): r.steps for r in out} == want and len(out) == len(want)
+    assert any(last[g, s].type == "METHOD_CALL" for g, s, _ in want)
+    for r in out:
+        way = [int(x) for x in r.path.split(">")]
+        assert (way[0], way[-1], len(way)) == (r.source, r.sink, r.steps + 1) and all((r.scan_id, a, b) in links for a, b in zip(way, way[1:]))
