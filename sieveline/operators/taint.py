@@ -121,7 +121,7 @@ def callee_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return used.join(made, ["scan_id", "name"]).join(declared, ["scan_id", "source"]).select("scan_id", "a", F.col("target").alias("b")).distinct()
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, rounds: int = 50) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(scan_id, source, id, confidence, cleaned, checked): the highest confidence that reaches each node.
 
     States are (node, cleaned, checked), as a cleaned value stays cleaned. Factors are at most 1, so the largest product
@@ -134,7 +134,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, rounds
     keys = ["scan_id", "source", "id", "cleaned", "checked"]
     best = cut(weighted_sources(nodes, threshold).select("scan_id", F.col("id").alias("source"), "id", F.lit(False).alias("cleaned"), F.lit(False).alias("checked"), "confidence"), "taint")
     risen = best
-    for _ in range(rounds):
+    while True:
         hop = risen.join(links.withColumnRenamed("a", "id"), ["scan_id", "id"])
         cleaned, checked = F.col("cleaned") | F.coalesce("cleans", F.lit(False)), F.col("checked") | F.coalesce("checks", F.lit(False))
         base = F.when(cleaned, F.lit(SANITIZED)).otherwise(F.lit(1.0))
@@ -149,18 +149,29 @@ def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, rounds
     return best
 
 
-def simple_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, goals: DataFrame, longest: int = MAX_NODES) -> DataFrame:
-    """(scan_id, source, sink, path) of all simple paths of at most `longest` nodes over the directed flow."""
+def simple_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, goals: DataFrame, longest: int = MAX_NODES, within: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
+    """(scan_id, source, sink, path) of all simple paths of at most `longest` nodes over the directed flow.
+
+    Paths go on through goals, which are ends for some pairs and steps for others. within: (scan_id, source, id, c), the nodes
+    that a source's paths may use and their confidences. Those are at most 1, so what is below the threshold stays there.
+    """
     links = cut(flow_links(nodes, edges), "flow")
-    goal = goals.select("scan_id", F.col("id").alias("at"), F.lit(True).alias("goal")).distinct()
-    front = starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")).distinct()
+    ends = goals.select("scan_id", F.col("id").alias("at")).distinct()
+    inside = None if within is None else within.select("scan_id", "source", F.col("id").alias("at"), "c")
+
+    def allowed(paths: DataFrame) -> DataFrame:
+        if inside is None:
+            return paths
+        weighed = paths.join(inside, ["scan_id", "source", "at"]).withColumn("w", F.col("w") * F.col("c") * STEP).drop("c")
+        return weighed.filter(F.col("w") >= threshold - 1e-8)  # confidences are rounded to 9 places
+
+    front = allowed(starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(1.0).alias("w")).distinct())
     found = None
     for _ in range(longest - 1):
         grown = front.join(links, (front.scan_id == links.scan_id) & (front["at"] == links.a) & ~F.array_contains("path", links.b))
-        front = cut(grown.select(front.scan_id, "source", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path")).join(goal, ["scan_id", "at"], "left"), "paths")
-        hits = front.filter("goal").select("scan_id", "source", F.col("at").alias("sink"), "path")
+        front = cut(allowed(grown.select(front.scan_id, "source", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"), "w")), "paths")
+        hits = front.join(ends, ["scan_id", "at"], "left_semi").select("scan_id", "source", F.col("at").alias("sink"), "path")
         found = hits if found is None else found.unionByName(hits)
-        front = front.filter("goal is null").drop("goal")
         if front.isEmpty():
             break
     return found
@@ -187,9 +198,9 @@ def weighted_taint(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, l
     reached = cut(propagate(nodes, edges, threshold), "reached")
     goals = weighted_sinks(nodes)
     hit = reached.join(goals.select("scan_id", "id"), ["scan_id", "id"], "left_semi").select("scan_id", "source", F.col("id").alias("sink")).distinct()
-    found = simple_paths(nodes, edges, hit.select("scan_id", F.col("source").alias("id")), hit.select("scan_id", F.col("sink").alias("id")), longest)
+    per = cut(reached.groupBy("scan_id", "source", "id").agg(F.max("confidence").alias("c"), F.min("cleaned").alias("cleaned")), "per-node")
+    found = simple_paths(nodes, edges, hit.select("scan_id", F.col("source").alias("id")), hit.select("scan_id", F.col("sink").alias("id")), longest, per.filter("not cleaned"), threshold)
     found = found.join(hit, ["scan_id", "source", "sink"], "left_semi")
-    per = reached.groupBy("scan_id", "source", "id").agg(F.max("confidence").alias("c"), F.min("cleaned").alias("cleaned"))
     steps = found.select("*", F.posexplode("path").alias("k", "id")).join(per, ["scan_id", "source", "id"])
     weighed = steps.groupBy("scan_id", "source", "sink", "path").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("w"), F.max("cleaned").alias("cleaned"))
     whole = weighed.filter(F.size("w") == F.size("path"))  # a path over a node that taint doesn't reach is none

@@ -176,7 +176,7 @@ def g19_weighted_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x15_weighted_taint(spark: SparkSession, d: str) -> DataFrame:
-    out = taint.weighted_taint(*tables(spark, d), threshold=0.6, longest=8)
+    out = taint.weighted_taint(*tables(spark, d), threshold=0.6)
     return out.select("scan_id", "source", "sink", "confidence", F.array_join("path", ">").alias("path"), F.col("place").cast("bigint").alias("place"))
 
 

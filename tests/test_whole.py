@@ -2,7 +2,7 @@
 
 from collections import deque
 
-from sieveline.operators import graph, report
+from sieveline.operators import graph, report, taint
 from sieveline.plans import graphs, reports
 
 
@@ -72,3 +72,12 @@ def test_all_shortest_against_search(spark):
     for r in out:
         way = [int(x) for x in r.path.split(">")]
         assert (way[0], way[-1], len(way)) == (r.source, r.sink, r.steps + 1) and all((r.scan_id, a, b) in links for a, b in zip(way, way[1:]))
+
+
+def test_weighted_paths_go_on_through_sinks(spark):
+    nodes = [(0, "PARAMETER", "p", None, None, None, None, "String"), *((k, "METHOD_CALL", "executeQuery" if k in (3, 10) else "load", None, 1) for k in range(1, 11))]
+    links = [(k, k + 1, "DATA_FLOW") for k in range(10)] + [(5, 4, "DATA_FLOW")]
+    n = spark.createDataFrame([(1, k, i, t, *(rest + [None] * 7)[:7]) for k, (i, t, *rest) in enumerate(nodes)], "scan_id bigint, pos bigint, id bigint, type string, name string, className string, arguments int, initializer string, hasElse boolean, dataType string, scope string")
+    e = spark.createDataFrame([(1, k, a, b, t) for k, (a, b, t) in enumerate(links)], "scan_id bigint, pos bigint, source bigint, target bigint, type string")
+    out = taint.weighted_taint(n, e, threshold=0.5)
+    assert sorted((r.sink, r.path, round(r.confidence, 6)) for r in out.collect()) == [(s, list(range(s + 1)), round((0.98 * 0.99) ** (s + 1), 6)) for s in (3, 10)]
