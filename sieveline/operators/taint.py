@@ -48,7 +48,7 @@ def reached_sinks(nodes: DataFrame, edges: DataFrame, links: DataFrame | None =
     return met.join(sinks(nodes).select("scan_id", "id"), ["scan_id", "id"], "left_semi").filter("source <> id").select("scan_id", "source", F.col("id").alias("sink"))
 
 
-def taint(nodes: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
+def taint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Tainted sinks with the shortest path from each source and a severity.
 
     Their severity is HIGH wherever a literal doesn't flow into a call of one argument, which their graphs never show; the
@@ -59,7 +59,7 @@ def taint(nodes: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
     pairs = cut(reached_sinks(nodes, edges, links), "pairs")
     goals = pairs.select("scan_id", F.col("sink").alias("id")).distinct()
     starts = pairs.select("scan_id", F.col("source").alias("id")).distinct()
-    found = shortest_paths(both, starts, goals, limit).join(pairs, ["scan_id", "source", "sink"], "left_semi")
+    found = shortest_paths(both, starts, goals).join(pairs, ["scan_id", "source", "sink"], "left_semi")
     last = last_by_id(nodes)
     literals = last.filter(F.col("type") == "STRING_LITERAL").select("scan_id", F.col("id").alias("b"))
     static = links.join(literals, ["scan_id", "b"], "left_semi").select("scan_id", F.col("a").alias("sink")).distinct().withColumn("fed", F.lit(True))

@@ -151,7 +151,7 @@ def g16_all_shortest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g17_taint(spark: SparkSession, d: str) -> DataFrame:
-    out = taint.taint(*tables(spark, d), 12)
+    out = taint.taint(*tables(spark, d))
     return out.select("scan_id", "source", "sink", "sink_name", "severity", (F.size("path") - 1).cast("bigint").alias("steps"), F.array_join("path", ">").alias("path"))
 
 

@@ -81,3 +81,10 @@ def test_weighted_paths_go_on_through_sinks(spark):
     e = spark.createDataFrame([(1, k, a, b, t) for k, (a, b, t) in enumerate(links)], "scan_id bigint, pos bigint, source bigint, target bigint, type string")
     out = taint.weighted_taint(n, e, threshold=0.5)
     assert sorted((r.sink, r.path, round(r.confidence, 6)) for r in out.collect()) == [(s, list(range(s + 1)), round((0.98 * 0.99) ** (s + 1), 6)) for s in (3, 10)]
+
+
+def test_taint_keeps_far_sinks(spark):
+    last = 34
+    n = spark.createDataFrame([(1, k, k, "PARAMETER" if k == 0 else "METHOD_CALL", "println" if k == last else "load", 2) for k in range(last + 1)], "scan_id bigint, pos bigint, id bigint, type string, name string, arguments int")
+    e = spark.createDataFrame([(1, k, k, k + 1, "DATA_FLOW") for k in range(last)], "scan_id bigint, pos bigint, source bigint, target bigint, type string")
+    assert [(r.source, r.sink, r.path) for r in taint.taint(n, e).collect()] == [(0, last, list(range(last + 1)))]
