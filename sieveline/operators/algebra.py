@@ -1,4 +1,4 @@
-"""The pattern algebra over text ranges (operators D2 to D9, D11 to D13, D16, D20, D22 and D24).
+"""The pattern algebra over text ranges (operators D2 to D9, D11 to D13, D20, D22 and D24).
 
 A leaf gives ranges (file_id, start, stop, text and the bindings of its groups); the others combine ranges. Starts and
 stops count code points from 0, a range is [start, stop).
