@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UUID_SHAPE = r"^[a-f0-9\-]{36}$"
+ENDPOINT_SHAPE = r"^https?://[a-zA-Z0-9.:\-/?=&]+$"
 
 
 def trim_all(text: Column, unicode: bool = False) -> Column:
@@ -55,6 +58,19 @@ def duration_text(start_ms: Column, end_ms: Column) -> Column:
     return F.when(start_ms.isNull() | end_ms.isNull(), F.lit("N/A")).otherwise(F.concat(F.floor((end_ms - start_ms) / 1000).cast("string"), F.lit("s")))
 
 
+def rfc3339(instant: Column, fraction: bool = False) -> Column:
+    """An instant as text with its offset, the seconds' fraction without closing zeros if asked for."""
+    if not fraction:
+        return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    whole = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.regexp_replace(F.regexp_replace(whole, r"(\.\d*?)0+(Z|[+-]\d\d:\d\d)$", "$1$2"), r"\.(Z|[+-])", "$1")
+
+
+def fresh_id() -> Column:
+    """A random identifier of the shape valid_id() tests (projection 24); every evaluation draws a new one."""
+    return F.expr("uuid()")
+
+
 def progress(done: Column, total: Column) -> Column:
     """Percent, halves rounded up, 0 of nothing (projection 21)."""
     return F.when(total > 0, F.floor(done * 100.0 / total + 0.5)).otherwise(F.lit(0)).cast("int")
@@ -75,38 +91,65 @@ def valid_id(value: Column) -> Column:
     return F.coalesce(value.rlike(UUID_SHAPE), F.lit(False))
 
 
+def valid_endpoint(value: Column) -> Column:
+    """Has an address the shape of a plain HTTP one (projection 23)?"""
+    return F.coalesce(value.rlike(ENDPOINT_SHAPE), F.lit(False))
+
+
+def valid_output(path: Column) -> Column:
+    """Is a path a JSON file's that doesn't climb (projection 23)?"""
+    return F.coalesce(path.endswith(".json") & ~F.contains(path, F.lit("..")), F.lit(False))
+
+
+# What an escape letter takes as its argument, if anything.
+_ARGUMENTS = {
+    "p": re.compile(r"\{[^}]*\}|."), "P": re.compile(r"\{[^}]*\}|."), "x": re.compile(r"\{[^}]*\}|[0-9a-fA-F]{2}"), "u": re.compile(r"[0-9a-fA-F]{4}"), "N": re.compile(r"\{[^}]*\}"),
+    "0": re.compile(r"[0-7]{1,3}"), "c": re.compile(r".", re.S), "k": re.compile(r"<[^>]*>"), "g": re.compile(r"\{[^}]*\}|<[^>]*>"), "b": re.compile(r"\{g\}"),
+}
+_QUANTIFIER = re.compile(r"(?:\*|\?|\+|\{\d+(?:,\d*)?\})[?+]?")
+_CLASS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.S)
+
+
 def required_literal(pattern: str) -> str | None:
     """A lower-case text every match of a pattern holds, if a plain reading of the pattern shows one of 3 letters or more.
 
-    The test on it is a cheap stand-in before the regular expression; None means there is no safe one.
+    Read are literal characters outside groups and classes; escapes go with their arguments and quantifiers with their
+    bounds, and what a quantifier repeats or lets out is none. Alternatives, quoted stretches, flags that change letters
+    or spacing, nested classes and anything unreadable give None: there is no safe text then.
     """
-    if "|" in pattern or "(?x" in pattern or "\\Q" in pattern:
+    if "|" in pattern or "\\Q" in pattern or "&&" in pattern or re.search(r"\(\?[a-zA-Z-]*[xuU]", pattern):
         return None
     runs, run, depth, i = [], "", 0, 0
     while i < len(pattern):
-        c = pattern[i]
-        lit = None
-        if c == "\\" and i + 1 < len(pattern):
-            lit = pattern[i + 1] if not pattern[i + 1].isalnum() else None
-            i += 1
+        c, lit, step = pattern[i], None, 1
+        if c == "\\":
+            letter = pattern[i + 1 : i + 2]
+            step = 2
+            if letter.isalnum():
+                held = _ARGUMENTS[letter].match(pattern, i + 2) if letter in _ARGUMENTS else None
+                step += len(held[0]) if held else 0
+                if letter.isdigit() and letter != "0":  # a back-reference of any length
+                    step += len(re.match(r"\d*", pattern[i + 2 :])[0])
+            else:
+                lit = letter
         elif c == "[":
-            j = i + 2
-            while j < len(pattern) and pattern[j] != "]":
-                j += 2 if pattern[j] == "\\" else 1
-            i = j
+            held = _CLASS.match(pattern, i)
+            if not held or "[" in held[0][1:]:
+                return None
+            step = len(held[0])
         elif c in "()":
             depth += 1 if c == "(" else -1
-        elif c not in ".^$*+?{}|":
+        elif c in "{}":
+            return None  # a brace that is no quantifier's; those are read below
+        elif c not in ".^$*+?":
             lit = c
-        nxt = pattern[i + 1 : i + 2]
-        if lit is None or depth or nxt in ("?", "*", "{"):
+        i += step
+        quantifier = _QUANTIFIER.match(pattern, i)
+        i += len(quantifier[0]) if quantifier else 0
+        if lit is not None and not depth and (not quantifier or quantifier[0][0] == "+"):
+            run += lit
+        if quantifier or lit is None or depth:
             runs.append(run)
             run = ""
-        else:
-            run += lit
-            if nxt == "+":
-                runs.append(run)
-                run = ""
-        i += 1
     best = max([*runs, run], key=len, default="")
     return best.lower() if len(best) >= 3 and best.isascii() else None

@@ -6,11 +6,11 @@ number of graphs. Identifiers needn't be unique and edges may dangle; look-ups u
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.session import cut, scratch_path
+from sieveline.session import cut, discard, hot_split_join, scratch_path
 from sieveline.sources.graphs import last_by_id
 
 # The node and edge types of each view.
@@ -128,29 +128,35 @@ def data_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.unionByName(both.select("scan_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(scan_id, id, component): the smallest identifier of each connected part of links both ways.
 
     Alternate star contraction: each round links every node's larger neighbours to the smallest one it sees, then its
-    smaller ones, until nothing changes. The number of rounds grows with the logarithm of the size, hubs are grouped with
-    partial aggregation, and each round is cut to the shared folder.
+    smaller ones, until a round changes nothing. The number of rounds grows with the logarithm of the size. A hub's minimum
+    is combined before the shuffle, and it goes back to the hub's neighbours by hot_split_join, which leaves the
+    neighbours of the heaviest hubs where they are. Each round is cut to the shared folder and replaces the one before;
+    rows and a sum of hashes are counted in the same pass that writes it.
     """
+    spark = links.sparkSession
     now = cut(links.filter("a <> b").select("scan_id", F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select("scan_id", F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("scan_id", "v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = both.filter("u > v").join(low, ["scan_id", "v"]).select("scan_id", F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        small_low = large.groupBy("scan_id", "v").agg(F.min("u").alias("m"))
-        kept = large.join(small_low, ["scan_id", "v"])
-        small = kept.select("scan_id", "v", F.col("m").alias("u")).unionByName(kept.select("scan_id", F.col("u").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
-        now = cut(small, "stars")
-        new = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("scan_id", "v", "u").cast("decimal(38,0)")), F.lit(0))).first())
+        low = cut(both.groupBy("scan_id", "v").agg(F.min("u").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "v")), "low")
+        large = cut(hot_split_join(both.filter("u > v"), low, ["scan_id", "v"], "n").select("scan_id", F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct(), "large")
+        small_low = cut(large.groupBy("scan_id", "v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low")
+        kept = hot_split_join(large, small_low, ["scan_id", "v"], "n")
+        stars = kept.select("scan_id", "v", F.col("m").alias("u")).unionByName(kept.select("scan_id", F.col("u").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
+        seen = Observation()
+        new_now = cut(stars.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("scan_id", "v", "u").cast("decimal(20,0)")), F.lit(0)).alias("h")), "stars")
+        for old in (now, low, large, small_low):
+            discard(old)
+        now, new = new_now, tuple(sorted(seen.get.items()))
         if new == state:
             break
         state = new
-    roots = links.select("scan_id", F.explode(F.array("a", "b")).alias("id")).distinct()
-    return roots.join(now.select("scan_id", F.col("v").alias("id"), F.col("u").alias("component")), ["scan_id", "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    ends = links.select("scan_id", F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ends.join(now.select("scan_id", F.col("v").alias("id"), F.col("u").alias("component")), ["scan_id", "id"], "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
@@ -162,14 +168,42 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     return met.unionByName(mine.select("scan_id", "source", F.col("source").alias("id"))).distinct()
 
 
+def spread(links: DataFrame, starts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(scan_id, source, at) of what each start (scan_id, source, at) reaches over directed links, itself included.
+
+    A frontier and an anti-join with everything seen; it ends when nothing is new. Every round is a folder of its own and
+    all are read as one table, so plans don't grow with the rounds. allowed: (scan_id, at) of nodes that may be entered.
+    """
+    spark, folders = links.sparkSession, []
+    shape = starts.select("scan_id", "source", "at").schema
+
+    def keep(df: DataFrame) -> DataFrame:
+        folders.append(scratch_path(spark, "reach"))
+        df.write.parquet(folders[-1])
+        return spark.read.schema(shape).parquet(folders[-1])
+
+    front = keep(starts.select("scan_id", "source", "at").distinct())
+    while not front.isEmpty():
+        nxt = front.join(links.withColumnRenamed("a", "at"), ["scan_id", "at"]).select("scan_id", "source", F.col("b").alias("at")).distinct()
+        if allowed is not None:
+            nxt = nxt.join(allowed, ["scan_id", "at"], "left_semi")
+        front = keep(nxt.join(spark.read.schema(shape).parquet(*folders), ["scan_id", "source", "at"], "left_anti"))
+    return spark.read.schema(shape).parquet(*folders)
+
+
 def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit: int | None = None) -> DataFrame:
     """(scan_id, source, sink, path) over directed links (G16): fewest steps, then the smallest identifiers on the way.
 
-    A frontier keeps one path per (source, node); nodes seen before are left out by an anti-join, so it ends by itself.
+    The links are first cut down to the nodes that a goal can be reached from, found by walking backwards from the goals.
+    A frontier then keeps one path per (source, node); nodes seen before are left out by an anti-join, so it ends by itself.
     Each round's frontier is a folder of its own and all are read as one table, so plans don't grow with the rounds.
-    limit: paths of at most so many steps.
+    limit: paths of at most so many steps; None for all.
     """
     spark, folders = links.sparkSession, []
+    ends = goals.select("scan_id", F.col("id").alias("at")).distinct()
+    back = spread(links.select("scan_id", F.col("b").alias("a"), F.col("a").alias("b")), ends.select("scan_id", F.lit(0).alias("source"), "at"))
+    useful = back.select("scan_id", F.col("at").alias("b"))
+    links = cut(links.join(useful, ["scan_id", "b"], "left_semi").select("scan_id", "a", "b"), "useful-links")
 
     def keep(df: DataFrame) -> DataFrame:
         folders.append(scratch_path(spark, "frontier"))
@@ -184,7 +218,26 @@ def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit:
         known = spark.read.schema(shape).parquet(*folders).select("scan_id", "source", "at")
         frontier = keep(best.join(known, ["scan_id", "source", "at"], "left_anti"))
     paths = spark.read.schema(shape).parquet(*folders)
-    return paths.join(goals.select("scan_id", F.col("id").alias("at")).distinct(), ["scan_id", "at"], "left_semi").filter("source <> at").select("scan_id", "source", F.col("at").alias("sink"), "path")
+    return paths.join(ends, ["scan_id", "at"], "left_semi").filter("source <> at").select("scan_id", "source", F.col("at").alias("sink"), "path")
+
+
+def as_documents(nodes: DataFrame, edges: DataFrame, **about: Column) -> DataFrame:
+    """(scan_id, part, pos, document): graphs as JSON documents for storage or download (sinks 7 and 9).
+
+    A row per node and edge, and one head per graph (part 'graph') with its counts and what `about` adds, such as the time
+    of the export. So a graph of any size is written without gathering it in one row; write them partitioned by scan_id.
+    """
+    rest = lambda df: F.struct(*[c for c in df.columns if c not in ("scan_id", "pos")])
+    n = nodes.select("scan_id", F.lit("node").alias("part"), F.col("pos").cast("bigint").alias("pos"), F.to_json(rest(nodes)).alias("document"))
+    e = edges.select("scan_id", F.lit("edge").alias("part"), F.col("pos").cast("bigint").alias("pos"), F.to_json(rest(edges)).alias("document"))
+    sums = n.unionByName(e).groupBy("scan_id").agg(F.count_if(F.col("part") == "node").alias("totalNodes"), F.count_if(F.col("part") == "edge").alias("totalEdges"))
+    head = sums.select("scan_id", F.lit("graph").alias("part"), F.lit(None).cast("bigint").alias("pos"), F.to_json(F.struct(F.col("scan_id").alias("scanId"), "totalNodes", "totalEdges", *(c.alias(k) for k, c in about.items()))).alias("document"))
+    return head.unionByName(n).unionByName(e)
+
+
+def write_graphs(nodes: DataFrame, edges: DataFrame, path: str, **about: Column) -> None:
+    """Store graphs as JSON lines, a folder per graph (sink 7)."""
+    as_documents(nodes, edges, **about).write.mode("append").partitionBy("scan_id", "part").json(path)
 
 
 def dot(nodes: DataFrame, edges: DataFrame, key: str = "scan_id") -> DataFrame:

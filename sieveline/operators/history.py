@@ -68,3 +68,28 @@ def delete_cascade(jobs: DataFrame, children: dict[str, DataFrame], gone: DataFr
     """Jobs without the given ones, and their children without the children of those (sink 10)."""
     keys = gone.select(key).distinct()
     return jobs.join(keys, key, "left_anti"), {name: rows.join(keys, key, "left_anti") for name, rows in children.items()}
+
+
+def status_of(states: DataFrame, reports: DataFrame, alive: DataFrame) -> DataFrame:
+    """(scan_id, status, report_available) of every scan with a state or a report.
+
+    states: (scan_id, status), the latest. One that is running but not among the alive ones has failed; a scan without a
+    state that has a report is completed.
+    """
+    told = states.select("scan_id", F.upper("status").alias("status"))
+    both = told.join(reports.select("scan_id").distinct().withColumn("_reported", F.lit(True)), "scan_id", "full_outer").join(alive.select("scan_id").distinct().withColumn("_alive", F.lit(True)), "scan_id", "left")
+    status = F.when(F.col("status").isNull(), F.when(F.col("_reported"), "COMPLETED")).when((F.col("status") == "RUNNING") & F.col("_alive").isNull(), "FAILED").otherwise(F.col("status"))
+    return both.filter("status is not null or _reported").select("scan_id", status.alias("status"), (status == "COMPLETED").alias("report_available"))
+
+
+def started(requests: DataFrame, at) -> DataFrame:
+    """The rows that open the log of scans just asked for (X17): scan_id, source_directory, start, STARTED, nothing found yet.
+
+    requests: scan_id (fresh_id() where it is new), source_directory; one without a folder scans the current one.
+    """
+    return requests.select("scan_id", F.coalesce("source_directory", F.lit(".")).alias("source_directory"), at.alias("start_time"), F.lit("STARTED").alias("status"), F.lit(0).alias("files_processed"), F.lit(0).alias("vulnerabilities_found"))
+
+
+def recent(scans: DataFrame, created: str = "scanned_at") -> DataFrame:
+    """(id, status, created) of scans."""
+    return scans.select(F.col("scan_id").alias("id"), "status", F.col(created).alias("created"))

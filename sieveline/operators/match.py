@@ -12,30 +12,41 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.severity import confidence_score
 from sieveline.functions.text import fingerprint, location, trim_all
+from sieveline.session import small
+
+#: Matches summed up at once.
+BLOCK = 128
+#: Rules that may travel to the findings at most; more are joined by shuffle.
+CATALOGUE_BOUND = 50_000
 
 
 def spans(line: str, pattern: str, unit: str = "codepoint") -> Column:
     """Array of (column, matched) of all matches, columns 1-based in code points or bytes (E1, trap 1).
 
-    The gaps between matches and the matches themselves, laid end to end, give each match's place, in one pass over both.
+    The gaps between matches and the matches themselves, laid end to end, give each match's place. Matches are summed up in
+    blocks of BLOCK and the blocks once more, so a text with n matches costs about n * (BLOCK + n / BLOCK²) steps, not n².
     Right for patterns that can't match nothing.
     """
     length = "octet_length" if unit == "byte" else "length"
     return F.expr(f"""
-        aggregate(
-          filter(zip_with(split({line}, {pattern}, -1), regexp_extract_all({line}, {pattern}, 0), (g, m) -> struct(g, m)), x -> x.m is not null),
-          struct(1L as at, cast(array() as array<struct<column_no:bigint,matched:string>>) as found),
-          (a, x) -> struct(a.at + {length}(x.g) + {length}(x.m) as at, array_append(a.found, struct(a.at + {length}(x.g) as column_no, x.m as matched)) as found),
-          a -> a.found)""")
+        flatten(transform(transform(array(filter(zip_with(split({line}, {pattern}, -1), regexp_extract_all({line}, {pattern}, 0), (g, m) -> struct(g, m)), x -> x.m is not null)), all ->
+          transform(sequence(0, greatest(size(all) - 1, 0) div {BLOCK}), k ->
+            aggregate(slice(all, k * {BLOCK} + 1, {BLOCK}), struct(0L as at, cast(array() as array<struct<column_no:bigint,matched:string>>) as found),
+              (a, x) -> struct(a.at + {length}(x.g) + {length}(x.m) as at, array_append(a.found, struct(a.at + {length}(x.g) as column_no, x.m as matched)) as found)))),
+          blocks -> flatten(zip_with(blocks, slice(aggregate(blocks, array(1L), (s, b) -> array_append(s, element_at(s, -1) + b.at)), 1, size(blocks)), (b, s) -> transform(b.found, x -> struct(x.column_no + s as column_no, x.matched as matched))))))""")
 
 
 def candidates(lines: DataFrame, rules: DataFrame, per_language: bool = True) -> DataFrame:
-    """Lines beside the rules that match them. rules: as compiled() gives them; those that match nothing are left out."""
+    """Lines beside the rules that match them. rules: as compiled() gives them; those that match nothing are left out.
+
+    compiled() has checked the catalogue's size, so it may travel to the lines; each line is put in lower case once.
+    """
     usable = rules.filter(~F.col("matches_empty"))
     usable = usable if per_language else usable.drop("language")
-    beside = lines.join(F.broadcast(usable), "language") if per_language else lines.crossJoin(F.broadcast(usable))
+    low = lines.withColumn("_low", F.lower("line"))
+    beside = low.join(F.broadcast(usable), "language") if per_language else low.crossJoin(F.broadcast(usable))
     # The literal test stands first: Spark evaluates conjunctions from the left.
-    return beside.filter((F.col("literal").isNull() | F.contains(F.lower("line"), F.col("literal"))) & F.rlike("line", F.col("pattern")))
+    return beside.filter((F.col("literal").isNull() | F.contains("_low", F.col("literal"))) & F.rlike("line", F.col("pattern"))).drop("_low")
 
 
 def find_matches(lines: DataFrame, rules: DataFrame, per_language: bool = True, match_on: str = "raw", unit: str = "codepoint") -> DataFrame:
@@ -52,7 +63,7 @@ def find_matches(lines: DataFrame, rules: DataFrame, per_language: bool = True,
 def as_findings(matches: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Matches as findings: what the rule says about them, their place and their fingerprint (projections 11 and 12, X9)."""
     about = rules.select("rule_id", "category", "severity", F.col("message").alias("details"), "remediation", F.try_element_at("cwe", F.lit(1)).alias("cwe_id"), F.col("owasp").alias("review_guidance"), "confidence")
-    placed = matches.join(F.broadcast(about), "rule_id").withColumn("location", location(F.col(path), F.col("line_no"), F.col("column_no")))
+    placed = matches.join(small(about, CATALOGUE_BOUND), "rule_id").withColumn("location", location(F.col(path), F.col("line_no"), F.col("column_no")))
     return placed.withColumn("dependency_file", fingerprint(F.col("rule_id"), F.col("location"))).withColumn("code_snippet", trim_all(F.col("line")))
 
 

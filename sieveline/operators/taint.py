@@ -1,17 +1,18 @@
 """Taint over code graphs: reachability with severities, and weighted propagation (operators G15, G17 to G21; filters 13, 14;
-joins 11, 12; aggregations 17, 18; order 6; compositions X14 to X16).
+joins 10 to 12; aggregations 17, 18; order 6; compositions X14 to X16), and by a rule's own seeds and labels (D14 to D19).
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.operators.graph import adjacency, data_flow, reachable, shortest_paths
-from sieveline.session import cut
+from sieveline.operators.graph import adjacency, components, data_flow, shortest_paths, spread, view
+from sieveline.session import cut, discard
 from sieveline.sources.graphs import last_by_id
 
 # Names that bring input in and names that must not receive it, plain and weighted.
@@ -21,6 +22,11 @@ SOURCE_WEIGHTS = {"getParameter": 0.98, "getHeader": 0.95, "getCookieValue": 0.9
 SINK_WEIGHTS = {"executeQuery": 1.0, "executeUpdate": 1.0, "exec": 1.0, "prepareStatement": 0.95, "createQuery": 0.95, "println": 0.70, "print": 0.70, "info": 0.75, "debug": 0.65, "write": 0.90, "sendRedirect": 0.95, "forward": 0.90, "include": 0.95, "eval": 1.0, "readObject": 0.95, "openConnection": 0.90, "readValue": 0.85, "digest": 0.80}
 SANITIZER = r"(?i)^(escape|encode|sanitize|clean|filter|purify|strip|normalize|remove)"
 VALIDATOR = r"(?i)isvalid|validate|check|verify|assert|ensure|matches|is[A-Z][a-zA-Z]*$"
+SANITIZER_NAMES = ["escapeHtml", "escapeXml", "escapeSql", "encodeForHTML", "encodeForSQL", "sanitize", "clean", "filter", "purify", "strip", "removeSpecialChars", "normalizeInput", "encodeURIComponent", "htmlspecialchars", "addSlashes", "stripTags", "replaceAll"]
+VALIDATOR_NAMES = ["isValid", "validate", "check", "verify", "assertValid", "ensure", "matchesPattern", "isNumeric", "isAlpha", "isEmail", "isAlphanumeric", "checkLength", "isEmpty", "isBlank", "restrict"]
+SINK_CLASSES = {"executeQuery": "SQL_INJECTION", "executeUpdate": "SQL_INJECTION", "exec": "COMMAND_INJECTION", "prepareStatement": "SQL_INJECTION", "createQuery": "SQL_INJECTION", "println": "LOG_INJECTION", "print": "LOG_INJECTION", "info": "LOG_INJECTION", "debug": "LOG_INJECTION", "write": "FILE_WRITE", "sendRedirect": "OPEN_REDIRECT", "forward": "OPEN_REDIRECT", "include": "PATH_TRAVERSAL", "eval": "CODE_INJECTION", "readObject": "DESERIALIZATION", "openConnection": "SSRF", "readValue": "VULNERABLE_COMPONENT", "digest": "CRYPTO_WEAKNESS"}
+UNVALIDATED_SINKS = ["println", "print", "info", "debug", "digest"]
+CLEANED_SINK_CLASSES = ["SQL_INJECTION", "COMMAND_INJECTION"]
 MODIFIERS = {"toString": 0.95, "valueOf": 0.90, "trim": 0.95, "substring": 0.85, "toLowerCase": 0.95, "toUpperCase": 0.95, "replaceAll": 0.80, "concat": 0.90, "format": 0.85}
 SANITIZED, VALIDATED, CONTROLLED, STEP = 0.05, 0.1, 0.95, 0.99
 PARAMETER_SURE, PARAMETER_OTHER, FIELD_SURE, CALLEE = 0.98, 0.5, 0.95, 0.95
@@ -28,7 +34,7 @@ CONTROL_TYPES = ["CONTAINS_CONTROL_FLOW", "SEQUENTIAL_FLOW", "THEN_BRANCH", "ELS
 MAX_NODES, PATHS_PER_PAIR = 25, 10
 
 
-def _weights(table: dict[str, float], key: Column) -> Column:
+def _weights(table: dict, key: Column) -> Column:
     return F.create_map(*map(F.lit, chain.from_iterable(table.items())))[key]
 
 
@@ -43,9 +49,14 @@ def sinks(nodes: DataFrame) -> DataFrame:
 
 
 def reached_sinks(nodes: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(scan_id, source, sink) of sinks in a source's part of the data flow, itself left out."""
-    met = reachable(data_flow(nodes, edges) if links is None else links, sources(nodes))
-    return met.join(sinks(nodes).select("scan_id", "id"), ["scan_id", "id"], "left_semi").filter("source <> id").select("scan_id", "source", F.col("id").alias("sink"))
+    """(scan_id, source, sink) of sinks in a source's part of the data flow, itself left out.
+
+    Sources and sinks meet in their components, so members that are neither never stand beside a source.
+    """
+    part = cut(components(data_flow(nodes, edges) if links is None else links), "parts")
+    a = sources(nodes).select("scan_id", "id").join(part, ["scan_id", "id"]).withColumnRenamed("id", "source")
+    z = sinks(nodes).select("scan_id", "id").join(part, ["scan_id", "id"]).withColumnRenamed("id", "sink")
+    return a.join(z, ["scan_id", "component"]).filter("source <> sink").select("scan_id", "source", "sink")
 
 
 def taint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,13 +99,20 @@ def weighted_sinks(nodes: DataFrame) -> DataFrame:
 
 
 def sanitizes(name: Column) -> Column:
-    """Does a name say that a call cleans its input (filter 13)?"""
-    return F.coalesce(name.rlike(SANITIZER), F.lit(False))
+    """Does a name say that a call cleans its input (filter 13)? Listed names are looked up in lower case, so those with capitals never hit."""
+    return F.coalesce(F.lower(name).isin(SANITIZER_NAMES) | name.rlike(SANITIZER), F.lit(False))
 
 
 def validates(name: Column) -> Column:
     """Does a name say that a call checks its input (filter 13)? The test is unanchored, so 'list' and 'exists' count."""
-    return F.coalesce(name.rlike(VALIDATOR), F.lit(False))
+    return F.coalesce(F.lower(name).isin(VALIDATOR_NAMES) | name.rlike(VALIDATOR), F.lit(False))
+
+
+def cleaning_nodes(nodes: DataFrame) -> DataFrame:
+    """(scan_id, id, kind) of the calls that clean or check."""
+    calls = last_by_id(nodes).filter(F.col("type") == "METHOD_CALL")
+    kinds = F.array_compact(F.array(F.when(sanitizes(F.col("name")), F.lit("sanitizer")), F.when(validates(F.col("name")), F.lit("validator"))))
+    return calls.select("scan_id", "id", F.explode(kinds).alias("kind"))
 
 
 def flow_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,7 +151,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> Dat
     links = cut(flow.select("scan_id", "b", "a", "factor", "cleans", "checks").unionByName(call), "weighted-links")
     keys = ["scan_id", "source", "id", "cleaned", "checked"]
     best = cut(weighted_sources(nodes, threshold).select("scan_id", F.col("id").alias("source"), "id", F.lit(False).alias("cleaned"), F.lit(False).alias("checked"), "confidence"), "taint")
-    risen = best
+    risen = last = best
     while True:
         hop = risen.join(links.withColumnRenamed("a", "id"), ["scan_id", "id"])
         cleaned, checked = F.col("cleaned") | F.coalesce("cleans", F.lit(False)), F.col("checked") | F.coalesce("checks", F.lit(False))
@@ -143,7 +161,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> Dat
         new = hop.select("scan_id", "source", F.col("b").alias("id"), cleaned.alias("cleaned"), checked.alias("checked"), (F.col("confidence") * times).alias("c")).filter(F.col("c") >= threshold)
         top = new.groupBy(*keys).agg(F.max("c").alias("c"))
         merged = cut(best.join(top, keys, "full_outer").select(*keys, F.greatest("confidence", "c").alias("confidence"), (F.coalesce(F.col("c") > F.col("confidence") + 1e-12, F.col("confidence").isNull())).alias("rose")), "taint")
-        best, risen = merged.drop("rose"), merged.filter("rose").drop("rose")
+        discard(last)
+        best, risen, last = merged.drop("rose"), merged.filter("rose").drop("rose"), merged
         if risen.isEmpty():
             break
     return best
@@ -189,23 +208,85 @@ def best_paths(paths: DataFrame, per_pair: int = PATHS_PER_PAIR) -> DataFrame:
 
 
 def valid_paths(paths: DataFrame, threshold: float) -> DataFrame:
-    """Paths of two nodes or more between different ends, uncleaned and confident enough."""
-    return paths.filter((F.size("path") >= 2) & (F.size("path") <= MAX_NODES) & (F.col("source") != F.col("sink")) & ~F.col("cleaned") & (F.col("confidence") >= threshold))
+    """Paths that count (G21), by the name of their sink: confident enough, of 2 to MAX_NODES nodes, to a listed sink; not
+    cleaned before a statement or a command; not checked before a sink that needs no check."""
+    sink = _weights(SINK_CLASSES, F.col("sink_name"))
+    cleaned = F.col("cleaned") & sink.isin(CLEANED_SINK_CLASSES)
+    checked = F.col("checked") & F.col("sink_name").isin(UNVALIDATED_SINKS)
+    return paths.filter((F.size("path") >= 2) & (F.size("path") <= MAX_NODES) & (F.col("source") != F.col("sink")) & sink.isNotNull() & ~cleaned & ~checked & (F.col("confidence") >= threshold))
 
 
 def weighted_taint(nodes: DataFrame, edges: DataFrame, threshold: float = 0.5, longest: int = MAX_NODES) -> DataFrame:
-    """Propagate, enumerate, weigh and filter (X15): (scan_id, source, sink, path, confidence, cleaned, place)."""
+    """Propagate, enumerate, weigh and filter (X15): (scan_id, source, sink, sink_name, path, confidence, cleaned, checked, place).
+
+    A node counts with the most confident state that reaches it; a path is cleaned or checked if one of its nodes is.
+    """
     reached = cut(propagate(nodes, edges, threshold), "reached")
     goals = weighted_sinks(nodes)
     hit = reached.join(goals.select("scan_id", "id"), ["scan_id", "id"], "left_semi").select("scan_id", "source", F.col("id").alias("sink")).distinct()
-    per = cut(reached.groupBy("scan_id", "source", "id").agg(F.max("confidence").alias("c"), F.min("cleaned").alias("cleaned")), "per-node")
-    found = simple_paths(nodes, edges, hit.select("scan_id", F.col("source").alias("id")), hit.select("scan_id", F.col("sink").alias("id")), longest, per.filter("not cleaned"), threshold)
+    best = F.max(F.struct("confidence", ~F.col("cleaned"), ~F.col("checked"))).alias("s")
+    per = cut(reached.groupBy("scan_id", "source", "id").agg(best).select("scan_id", "source", "id", F.col("s.confidence").alias("c"), (~F.col("s.col2")).alias("cleaned"), (~F.col("s.col3")).alias("checked")), "per-node")
+    found = simple_paths(nodes, edges, hit.select("scan_id", F.col("source").alias("id")), hit.select("scan_id", F.col("sink").alias("id")), longest, per, threshold)
     found = found.join(hit, ["scan_id", "source", "sink"], "left_semi")
     steps = found.select("*", F.posexplode("path").alias("k", "id")).join(per, ["scan_id", "source", "id"])
-    weighed = steps.groupBy("scan_id", "source", "sink", "path").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("w"), F.max("cleaned").alias("cleaned"))
+    weighed = steps.groupBy("scan_id", "source", "sink", "path").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("w"), F.max("cleaned").alias("cleaned"), F.max("checked").alias("checked"))
     whole = weighed.filter(F.size("w") == F.size("path"))  # a path over a node that taint doesn't reach is none
-    scored = whole.withColumn("confidence", path_confidence(F.col("w.c"))).drop("w")
-    return best_paths(valid_paths(scored, threshold))
+    named = whole.join(last_by_id(nodes).select("scan_id", F.col("id").alias("sink"), F.col("name").alias("sink_name")), ["scan_id", "sink"])
+    scored = named.withColumn("confidence", path_confidence(F.col("w.c"))).drop("w")
+    # The best paths of a pair are chosen first and judged then, as the limit belongs to the search.
+    return valid_paths(best_paths(scored), threshold)
+
+
+def analysis_metadata(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Counts of each analysed graph: its nodes and edges, those of its two views, and its tainted paths (aggregation 17)."""
+    views = [(nodes, "node_count"), (edges, "edge_count")]
+    for name, short in (("dfg", "dfg"), ("cfg", "cfg")):
+        n, e = view(nodes, edges, name)
+        views += [(n, f"{short}_node_count"), (e, f"{short}_edge_count")]
+    parts = [df.select("scan_id", F.lit(name).alias("what")) for df, name in [*views, (paths, "tainted_path_count")]]
+    names = [name for _, name in views] + ["tainted_path_count"]
+    return reduce(DataFrame.unionByName, parts).groupBy("scan_id").agg(*(F.count_if(F.col("what") == n).alias(n) for n in names))
+
+
+def labelled_taint(links: DataFrame, seeds: DataFrame, targets: DataFrame, blocked: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """(scan_id, source, sink, label): taint by a rule's own sources, sinks, sanitizers, propagators and labels.
+
+    seeds: (scan_id, id, label, requires, by_side_effect). A seed without `requires` starts its label; one with it gives its
+    label to what arrives there under the required one. by_side_effect: what flows into the seed gets the label too.
+    targets: (scan_id, id, requires), a null one takes any label. blocked: (scan_id, id) that taint can't enter (D16).
+    extra: (scan_id, a, b), a propagator's from and to (D17). It is reachability over (node, label) pairs.
+    """
+    every = links.select("scan_id", "a", "b")
+    if extra is not None:
+        every = every.unionByName(extra.select("scan_id", "a", "b")).distinct()
+    if blocked is not None:
+        every = every.join(blocked.select("scan_id", F.col("id").alias("b")).distinct(), ["scan_id", "b"], "left_anti").select("scan_id", "a", "b")
+    every = cut(every, "taint-links")
+    labels = cut(seeds.select("label").distinct(), "labels")  # a rule's own few words
+    state = lambda node, label: F.struct(F.col(node).alias("id"), label.alias("label"))
+    flows = every.crossJoin(F.broadcast(labels)).select("scan_id", state("a", F.col("label")).alias("a"), state("b", F.col("label")).alias("b"))
+    turns = seeds.filter("requires is not null").select("scan_id", state("id", F.col("requires")).alias("a"), state("id", F.col("label")).alias("b"))
+    begun = seeds.filter("requires is null").select("scan_id", F.col("id").alias("source"), "id", "label", "by_side_effect")
+    before = begun.filter("by_side_effect").join(every.withColumnRenamed("b", "id"), ["scan_id", "id"]).select("scan_id", "source", F.col("a").alias("id"), "label")
+    starts = begun.select("scan_id", "source", "id", "label").unionByName(before)
+    if blocked is not None:
+        starts = starts.join(blocked.select("scan_id", "id").distinct(), ["scan_id", "id"], "left_anti")
+    met = spread(cut(flows.unionByName(turns), "label-links"), starts.select("scan_id", "source", state("id", F.col("label")).alias("at")))
+    wanted = targets.select("scan_id", F.col("id").alias("sink"), "requires")
+    rows = met.select("scan_id", "source", F.col("at.id").alias("sink"), F.col("at.label").alias("label")).join(wanted, ["scan_id", "sink"])
+    return rows.filter("source <> sink and (requires is null or requires = label)").select("scan_id", "source", "sink", "label").distinct()
+
+
+def mentions(nodes: DataFrame) -> DataFrame:
+    """(scan_id, id, source): variables whose initializer holds the name of a source (join 10); a source without a name counts for all.
+
+    Names are few beside variables: distinct ones travel if they are few, and all sources of a name come by equality.
+    """
+    named = sources(nodes).select("scan_id", F.col("id").alias("source"), F.coalesce("name", F.lit("")).alias("name"))
+    held = last_by_id(nodes).filter((F.col("type") == "LOCAL_VARIABLE") & F.col("initializer").isNotNull()).select("scan_id", "id", "initializer")
+    names = named.select("scan_id", "name").distinct()
+    hits = held.join(names, "scan_id").filter(F.contains("initializer", F.col("name")))
+    return hits.select("scan_id", "id", "name").join(named, ["scan_id", "name"]).select("scan_id", "id", "source")
 
 
 def with_places(nodes: DataFrame, dfg: DataFrame, cfg: DataFrame) -> DataFrame:

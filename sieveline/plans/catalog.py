@@ -12,8 +12,6 @@ from sieveline.plans import graphs, ranges, reports, scan
 MODULES = (scan, reports, graphs, ranges, nested)
 
 
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
@@ -23,6 +21,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which files have which findings, worst first: the default rules over the source files."""
-    found = scan.default_matches(spark, sf_dir)
+    """Which files have which findings, worst first: the whole catalogue over the source files."""
+    found = scan.catalogue_findings(spark, sf_dir)
     return report.ranked(found, "rule_id", "path", "line_no", "column_no").select("path", "rule_id", "severity", "line_no", "column_no", "matched", "dependency_file")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import language as lang
-from sieveline.operators import flow, graph, taint
+from sieveline.operators import flow, graph, history, taint
 from sieveline.plans.scan import LINES_SQL, TRIM_SQL, scanned_lines
-from sieveline.session import cut, load
+from sieveline.session import cut, load, scratch_path
 from sieveline.sources import graphs
 
 SPAN = 200
@@ -43,7 +43,7 @@ def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _view(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         n, e = graph.view(*tables(spark, d), name)
-        return n.groupBy("scan_id", "type").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).withColumn("kind", F.lit("node")).unionByName(e.groupBy("scan_id", "type").agg(F.count("*").alias("n"), F.sum("target").alias("ids")).withColumn("kind", F.lit("edge")))
+        return n.select("scan_id", F.lit("node").alias("kind"), "pos", "type", F.col("id").alias("source"), F.lit(None).cast("bigint").alias("target")).unionByName(e.select("scan_id", F.lit("edge").alias("kind"), "pos", "type", "source", "target"))
 
     return run
 
@@ -54,8 +54,7 @@ def g3_closed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g3_full_cfg(spark: SparkSession, d: str) -> DataFrame:
-    _, e = graph.full_cfg(*tables(spark, d))
-    return e.groupBy("scan_id", "type").agg(F.count("*").alias("n"), F.sum("source").alias("sources"), F.sum("target").alias("targets"))
+    return graph.full_cfg(*tables(spark, d))[1].select("scan_id", "source", "target", "type")
 
 
 def g7_sequential(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +66,7 @@ def g8_branches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g10_calls(spark: SparkSession, d: str) -> DataFrame:
-    return graph.calls(tables(spark, d)[0]).groupBy("scan_id", "source").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+    return graph.calls(tables(spark, d)[0]).select("scan_id", "source", "target")
 
 
 def g11_catches(spark: SparkSession, d: str) -> DataFrame:
@@ -78,10 +77,75 @@ def a8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return graph.statistics(*tables(spark, d))
 
 
+def a9_plain_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that give initializers no credit, of the graphs and of their control-flow views."""
+    n, e = tables(spark, d)
+    whole = graph.statistics(n, e, initializers=False).withColumn("of", F.lit("graph"))
+    return whole.unionByName(graph.statistics(*graph.view(n, e, "cfg_full"), initializers=False).withColumn("of", F.lit("cfg")))
+
+
+def a17_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each graph, its views and its tainted sinks."""
+    n, e = tables(spark, d)
+    return taint.analysis_metadata(n, e, taint.reached_sinks(n, e))
+
+
 def j15_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """What the check of a control-flow view complains of: nodes without edges, edges without nodes."""
+    n, e = graph.view(*tables(spark, d), "cfg_full")
+    return graph.orphans(n, e).select("scan_id", "pos", F.lit("node").alias("kind")).unionByName(graph.dangling(n, e).select("scan_id", "pos", F.lit("edge").alias("kind")))
+
+
+def j10_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Variables whose initializer names a source."""
+    n, _ = tables(spark, d)
+    told = n.withColumn("initializer", F.when(F.col("initializer").isNotNull(), F.concat(F.lit("new "), "className", F.lit("("), F.lit("get"), F.lit(")"))))
+    return taint.mentions(told).groupBy("scan_id", "id").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
+
+
+def j11_places(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with the places that the views' copies know."""
+    n, _ = tables(spark, d)
+    last = graphs.last_by_id(n).select("scan_id", "id")
+    copy = lambda every, name: last.filter(F.col("id") % every == 0).select("scan_id", "id", F.concat(F.lit(name), (F.col("id") % 5).cast("string")).alias("fileName"), (F.col("id") % 100).alias("lineNumber"))
+    return taint.with_places(last, copy(2, "d"), copy(3, "c")).select("scan_id", "id", F.col("fileName").alias("file_name"), F.col("lineNumber").alias("line_number"))
+
+
+def j12_parameters(spark: SparkSession, d: str) -> DataFrame:
+    return taint.callee_links(*tables(spark, d))
+
+
+def x12_one_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The control-flow view of one graph, by its identifier."""
+    n, e = (history.of_key(t, "scan_id", 3) for t in tables(spark, d))
+    n, e = graph.view(n, e, "cfg")
+    return n.select("pos", F.lit("node").alias("kind"), "type").unionByName(e.select("pos", F.lit("edge").alias("kind"), "type"))
+
+
+def x14_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return taint.cleaning_nodes(tables(spark, d)[0])
+
+
+def k7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs written as JSON lines and read back."""
+    n, e = tables(spark, d)
+    path = scratch_path(spark, "graphs")
+    graph.write_graphs(n.select("scan_id", "pos", "id", "type", "name"), e, path, exportedAt=F.lit("2026-01-01T00:00:00Z"))
+    rows = spark.read.schema("scan_id bigint, part string, pos bigint, document string").json(path)
+    at = lambda k: F.get_json_object("document", f"$.{k}")
+    return rows.select("scan_id", "part", "pos", F.coalesce(at("type"), at("exportedAt")).alias("what"), F.coalesce(at("id"), at("source"), at("totalNodes")).cast("bigint").alias("a"), F.coalesce(at("target"), at("totalEdges")).cast("bigint").alias("b"))
+
+
+def d14_rule_taint(spark: SparkSession, d: str) -> DataFrame:
+    """Taint by a rule's own sources, labels, sanitizers, propagators and sinks."""
     n, e = tables(spark, d)
-    few = e.filter("type <> 'UNRELATED'")
-    return graph.orphans(n, few).select("scan_id", "pos", F.lit("node").alias("kind")).unionByName(graph.dangling(n, few).select("scan_id", "pos", F.lit("edge").alias("kind")))
+    last = cut(graphs.last_by_id(n).select("scan_id", "id", "type", "name"), "last")
+    parameters = last.filter("type = 'PARAMETER'").select("scan_id", "id", F.lit("INPUT").alias("label"), F.lit(None).cast("string").alias("requires"), (F.col("id") % 2 == 0).alias("by_side_effect"))
+    joined = last.filter("type = 'BINARY_EXPRESSION' or type = 'ASSIGNMENT'").select("scan_id", "id", F.lit("CONCAT").alias("label"), F.lit("INPUT").alias("requires"), F.lit(False).alias("by_side_effect"))
+    sinks = last.filter("type = 'METHOD_CALL' and name in ('executeQuery', 'exec', 'println')").select("scan_id", "id", F.when(F.col("name") != "println", "CONCAT").alias("requires"))
+    blocked = last.filter("type = 'METHOD_CALL' and name = 'escapeHtml'").select("scan_id", "id")
+    extra = e.filter("type = 'UNRELATED'").select("scan_id", F.col("source").alias("a"), F.col("target").alias("b"))
+    return taint.labelled_taint(taint.flow_links(n, e), parameters.unionByName(joined), sinks, blocked, extra)
 
 
 def x13_last_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -135,15 +199,12 @@ def g15_reached_sinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g16_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """Fewest steps between parameters and sinks over the mixed adjacency, of up to six steps, as its SQL has them; g16_all_shortest has all."""
-    n, e = tables(spark, d)
-    starts = taint.sources(n).filter("type = 'PARAMETER'")
-    out = graph.shortest_paths(graph.adjacency(e), starts, taint.sinks(n), 6)
-    return out.select("scan_id", "source", "sink", (F.size("path") - 1).cast("bigint").alias("steps"))
+    """Fewest steps from every source to every sink it leads to, over the mixed adjacency and the data flow."""
+    return g16_paths(spark, d).select("scan_id", "source", "sink", "steps")
 
 
-def g16_all_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest path from every source to every sink it leads to, over the mixed adjacency and the data flow."""
+def g16_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the paths; of equally short ones the one with the smallest identifiers."""
     n, e = tables(spark, d)
     links = cut(graph.adjacency(e).unionByName(graph.data_flow(n, e)).distinct(), "links-both")
     out = graph.shortest_paths(links, taint.sources(n), taint.sinks(n))
@@ -172,12 +233,12 @@ def g18_flow(spark: SparkSession, d: str) -> DataFrame:
 
 def g19_weighted_reach(spark: SparkSession, d: str) -> DataFrame:
     out = taint.propagate(*tables(spark, d), threshold=0.6)
-    return out.select("scan_id", "source", "id", "cleaned", "checked", F.round("confidence", 9).alias("confidence"))
+    return out.select("scan_id", "source", "id", "cleaned", "checked", F.round("confidence", 7).alias("confidence"))
 
 
 def x15_weighted_taint(spark: SparkSession, d: str) -> DataFrame:
     out = taint.weighted_taint(*tables(spark, d), threshold=0.6)
-    return out.select("scan_id", "source", "sink", "confidence", F.array_join("path", ">").alias("path"), F.col("place").cast("bigint").alias("place"))
+    return out.select("scan_id", "source", "sink", "sink_name", F.round("confidence", 7).alias("confidence"), F.array_join("path", ">").alias("path"), "cleaned", "checked", F.col("place").cast("bigint").alias("place"))
 
 
 def g22_line_cfg(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +301,7 @@ def s17_pseudo_ast(spark: SparkSession, d: str) -> DataFrame:
 
 def g24_ast_flow(spark: SparkSession, d: str) -> DataFrame:
     out = flow.ast_flow(flow.pseudo_ast(scanned_lines(spark, d)))
-    return out.groupBy("file_id", "type").agg(F.count("*").alias("n"), F.sum("source").alias("sources"), F.sum("target").alias("targets"))
+    return out.select("file_id", "type", F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"))
 
 
 def f10_semantics(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +326,7 @@ QUERIES = {
     "g1_cfg_view": _view("cfg"), "g2_cfg_wide_view": _view("cfg_wide"), "g4_dfg_view": _view("dfg"), "g5_ast_view": _view("ast"),
 } | {f.__name__: f for f in (
     g3_closed_edges, g3_full_cfg, g7_sequential, g8_branches, g10_calls, g11_catches, a8_statistics, j15_orphans, x13_last_nodes, x13_names, proj09_call_flags, proj10_sql_literals, s8_ingest, proj04_graph_language, g12_adjacency, g13_data_flow, g14_components, g15_reached_sinks,
-    g16_shortest, g16_all_shortest, g17_taint, f13_names, f14_weights, g18_flow, g19_weighted_reach, x15_weighted_taint, g22_line_cfg, g22_line_cfg_edges, proj18_line_types, e3_definitions, e4_uses, g23_line_dfg, a15_variables, j8_declarations, j13_sensitive_uses, j14_unreachable, s17_pseudo_ast,
+    g16_shortest, g16_paths, j10_mentions, j11_places, j12_parameters, x12_one_graph, x14_cleaning, k7_documents, d14_rule_taint, a9_plain_statistics, a17_metadata, g17_taint, f13_names, f14_weights, g18_flow, g19_weighted_reach, x15_weighted_taint, g22_line_cfg, g22_line_cfg_edges, proj18_line_types, e3_definitions, e4_uses, g23_line_dfg, a15_variables, j8_declarations, j13_sensitive_uses, j14_unreachable, s17_pseudo_ast,
     g24_ast_flow, f10_semantics, x7_composition, k8_dot,
 )}
 
@@ -299,7 +360,7 @@ snk as (select * from m where type = 'METHOD_CALL' and name in {_list(taint.SINK
 
 def _view_sql(name: str) -> str:
     node_types, edge_types = graph.VIEWS[name]
-    return _G + f"select scan_id, type, count(*) as n, sum(id)::bigint as ids, 'node' as kind from n where type in {_list(node_types)} group by 1, 2 union all select scan_id, type, count(*), sum(target)::bigint, 'edge' from e where type in {_list(edge_types)} group by 1, 2"
+    return _G + f"select scan_id, 'node' as kind, pos, type, id as source, null::bigint as target from n where type in {_list(node_types)} union all select scan_id, 'edge', pos, type, source, target from e where type in {_list(edge_types)}"
 
 
 _FULL_N, _FULL_E = graph.VIEWS["cfg_full"]
@@ -363,20 +424,60 @@ checks as (select file_id, line_no, unnest(list_filter([
 _WEIGHT = lambda table: "case name " + " ".join(f"when '{k}' then {v}::double" for k, v in table.items()) + " end"
 _FLOW_TYPES = _list(["DATA_FLOW", "DECLARES", "ACCESSES", *taint.CONTROL_TYPES])
 _REACH = """, reach(scan_id, source, id) as (select scan_id, id, id from src union select r.scan_id, r.source, df.b from reach r join df on df.scan_id = r.scan_id and df.a = r.id)"""
+_CLEANS = f"(lower({{0}}) in {_list(taint.SANITIZER_NAMES)} or regexp_matches({{0}}, '{taint.SANITIZER}'))"
+_CHECKS = f"(lower({{0}}) in {_list(taint.VALIDATOR_NAMES)} or regexp_matches({{0}}, '{taint.VALIDATOR}'))"
+_WALK = """, lnk as (select * from adj union select * from df), walk(scan_id, source, node, steps, path) using key (scan_id, source, node) as (
+  select scan_id, id, id, 0::bigint, [id] from src
+  union select w.scan_id, w.source, lnk.b, min(w.steps) + 1, min(list_append(w.path, lnk.b)) from walk w join lnk on lnk.scan_id = w.scan_id and lnk.a = w.node where not exists (select 1 from recurring.walk r where r.scan_id = w.scan_id and r.source = w.source and r.node = lnk.b) group by all)"""
+_FACTORS = "coalesce(case x.name " + " ".join(f"when '{k}' then {v}::double" for k, v in taint.MODIFIERS.items()) + " end, 1.0::double)"
+_SPREAD = f""", ctl as (select distinct scan_id, source as id from e where type in {_list(taint.CONTROL_TYPES)}),
+hop as (
+  select l.scan_id, l.a, l.b, {_FACTORS} * case when ctl.id is not null then {taint.CONTROLLED}::double else 1.0::double end as factor, coalesce({_CLEANS.format('x.name')}, false) as cleans, coalesce({_CHECKS.format('x.name')}, false) as checks, false as call
+  from (select scan_id, source as a, target as b from e where type in {_FLOW_TYPES} union select scan_id, target, source from e where type = 'CONTAINS_ASSIGNMENT') l join m x on x.scan_id = l.scan_id and x.id = l.b left join ctl on ctl.scan_id = l.scan_id and ctl.id = l.b
+  union all select distinct u.scan_id, u.id, p.id, {taint.CALLEE}::double, false, false, true from m u join m f on f.scan_id = u.scan_id and f.name = u.name and f.type in ('METHOD', 'CONSTRUCTOR') join e on e.scan_id = f.scan_id and e.source = f.id and e.type = 'DECLARES' join m p on p.scan_id = e.scan_id and p.id = e.target and p.type = 'PARAMETER' where u.type = 'METHOD_CALL'
+),
+ws as (select scan_id, id, case type when 'METHOD_CALL' then {_WEIGHT(taint.SOURCE_WEIGHTS)} when 'PARAMETER' then case when contains(dataType, 'String') then 0.98 else 0.5 end when 'FIELD' then case when contains(lower(dataType), 'string') or regexp_matches(lower(name), 'input|request|param') then 0.95 end end::double as c from m),
+heat(scan_id, source, id, cleaned, checked, c) using key (scan_id, source, id, cleaned, checked) as (
+  select scan_id, id, id, false, false, c from ws where c >= 0.6
+  union select z.scan_id, z.source, z.b, z.cl, z.ch, max(z.v) from (
+    select h.scan_id, h.source, hop.b, h.cleaned or hop.cleans as cl, h.checked or hop.checks as ch,
+      h.c * case when call then factor else factor * case when h.checked or hop.checks then least(1.0::double, case when h.cleaned or hop.cleans then {taint.SANITIZED}::double else 1.0::double end + {taint.VALIDATED}::double) when h.cleaned or hop.cleans then {taint.SANITIZED}::double else 1.0::double end end as v
+    from heat h join hop on hop.scan_id = h.scan_id and hop.a = h.id) z
+  where z.v >= 0.6 and not exists (select 1 from recurring.heat r where r.scan_id = z.scan_id and r.source = z.source and r.id = z.b and r.cleaned = z.cl and r.checked = z.ch and r.c >= z.v - 1e-12) group by all)"""
 _GRAPH_SCORES = {k: f"(case when list_has_any(types, {_array(lang.NODE_TYPES[k])}) then 3 else 0 end + case when {' or '.join(f'''contains('java.util.List', '{i}')''' for i in lang.IMPORTS[k])} then 2 else 0 end + case when list_has_any(names, {_array(lang.KEYWORDS[k])}) then 2 else 0 end + case when list_has_any(data_types, {_array(lang.DATA_TYPES[k])}) then 1 else 0 end)" for k in lang.KEYWORDS}
 SQL = {
     "g1_cfg_view": _view_sql("cfg"), "g2_cfg_wide_view": _view_sql("cfg_wide"), "g4_dfg_view": _view_sql("dfg"), "g5_ast_view": _view_sql("ast"),
     "g3_closed_edges": _G.rstrip() + f", {_CLOSED} select scan_id, pos, source, target, type from ke",
     "g3_full_cfg": _G.rstrip() + f""", {_CLOSED}, {_KM}, alle as (select scan_id, source, target, type from ke union all select *, 'SEQUENTIAL_FLOW' from ({_SEQ.format('ke', 'km')}) union all {_BRANCH.format('kn')} union all {_CALL.format('kn')} union all {_CATCH.format('kn', 'km')})
-      select scan_id, type, count(*) as n, sum(source)::bigint as sources, sum(target)::bigint as targets from alle group by 1, 2""",
+      select scan_id, source, target, type from alle""",
     "g7_sequential": _G + _SEQ.format("e", "m"),
     "g8_branches": _G + _BRANCH.format("n"),
-    "g10_calls": _G + f"select scan_id, source, count(*) as n, sum(target)::bigint as targets from ({_CALL.format('n')}) group by 1, 2",
+    "g10_calls": _G + f"select scan_id, source, target from ({_CALL.format('n')})",
     "g11_catches": _G + _CATCH.format("n", "m"),
     "a8_statistics": _G + f"""select scan_id, coalesce(total_nodes, 0) as total_nodes, coalesce(method_calls, 0) as method_calls, coalesce(assignments, 0) as assignments, coalesce(string_literals, 0) as string_literals, coalesce(control_flow_nodes, 0) as control_flow_nodes, coalesce(total_edges, 0) as total_edges from
       (select scan_id, count(*) as total_nodes, count(*) filter (type in {_list(graph.CALLS)}) as method_calls, count(*) filter (type = 'ASSIGNMENT' or (type in ('LOCAL_VARIABLE', 'FIELD') and initializer is not null)) as assignments, count(*) filter (type = 'STRING_LITERAL') as string_literals, count(*) filter (type in {_list(graph.CONTROL)}) as control_flow_nodes from n group by 1)
       full join (select scan_id, count(*) as total_edges from e group by 1) using (scan_id)""",
-    "j15_orphans": _G.rstrip() + ", few as (select * from e where type <> 'UNRELATED') select scan_id, pos, 'node' as kind from n where not exists (select 1 from few where few.scan_id = n.scan_id and (few.source = n.id or few.target = n.id)) union all select scan_id, pos, 'edge' from few where not exists (select 1 from n where n.scan_id = few.scan_id and n.id = few.source) or not exists (select 1 from n where n.scan_id = few.scan_id and n.id = few.target)",
+    "a9_plain_statistics": _G.rstrip() + f""", vn as (select scan_id, type, 'graph' as of from n union all select scan_id, type, 'cfg' from n where type in {_list(_FULL_N)}), ve as (select scan_id, 'graph' as of from e union all select scan_id, 'cfg' from e where type in {_list(_FULL_E)})
+      select scan_id, of, coalesce(total_nodes, 0) as total_nodes, coalesce(method_calls, 0) as method_calls, coalesce(assignments, 0) as assignments, coalesce(string_literals, 0) as string_literals, coalesce(control_flow_nodes, 0) as control_flow_nodes, coalesce(total_edges, 0) as total_edges from
+      (select scan_id, of, count(*) as total_nodes, count(*) filter (type in {_list(graph.CALLS)}) as method_calls, count(*) filter (type = 'ASSIGNMENT') as assignments, count(*) filter (type = 'STRING_LITERAL') as string_literals, count(*) filter (type in {_list(graph.CONTROL)}) as control_flow_nodes from vn group by 1, 2)
+      full join (select scan_id, of, count(*) as total_edges from ve group by 1, 2) using (scan_id, of)""",
+    "a17_metadata": _G.rstrip() + _REACH + f""", t as (select r.scan_id, r.source, r.id from reach r join snk on snk.scan_id = r.scan_id and snk.id = r.id where r.source <> r.id),
+      u as (select scan_id, 'n' as w from n union all select scan_id, 'e' from e union all select scan_id, 'dn' from n where type in {_list(graph.VIEWS['dfg'][0])} union all select scan_id, 'de' from e where type in {_list(graph.VIEWS['dfg'][1])} union all select scan_id, 'cn' from n where type in {_list(graph.VIEWS['cfg'][0])} union all select scan_id, 'ce' from e where type in {_list(graph.VIEWS['cfg'][1])} union all select scan_id, 't' from t)
+      select scan_id, count(*) filter (w = 'n') as node_count, count(*) filter (w = 'e') as edge_count, count(*) filter (w = 'dn') as dfg_node_count, count(*) filter (w = 'de') as dfg_edge_count, count(*) filter (w = 'cn') as cfg_node_count, count(*) filter (w = 'ce') as cfg_edge_count, count(*) filter (w = 't') as tainted_path_count from u group by 1""",
+    "j15_orphans": _G.rstrip() + f", kn as (select * from n where type in {_list(_FULL_N)}), ke as (select * from e where type in {_list(_FULL_E)}) select scan_id, pos, 'node' as kind from kn where not exists (select 1 from ke where ke.scan_id = kn.scan_id and ke.source = kn.id) and not exists (select 1 from ke where ke.scan_id = kn.scan_id and ke.target = kn.id) union all select scan_id, pos, 'edge' from ke where not exists (select 1 from kn where kn.scan_id = ke.scan_id and kn.id = ke.source) or not exists (select 1 from kn where kn.scan_id = ke.scan_id and kn.id = ke.target)",
+    "j10_mentions": _G + "select m.scan_id, m.id, count(*) as n, min(s.id) as first_source from m join src s on s.scan_id = m.scan_id and contains('new ' || m.className || '(get)', s.name) where m.type = 'LOCAL_VARIABLE' and m.initializer is not null group by 1, 2",
+    "j11_places": _G + "select scan_id, id, case when id % 3 = 0 then 'c' || (id % 5) when id % 2 = 0 then 'd' || (id % 5) end as file_name, case when id % 3 = 0 or id % 2 = 0 then id % 100 end as line_number from m",
+    "j12_parameters": _G + "select distinct u.scan_id, u.id as a, p.id as b from m u join m f on f.scan_id = u.scan_id and f.name = u.name and f.type in ('METHOD', 'CONSTRUCTOR') join e on e.scan_id = f.scan_id and e.source = f.id and e.type = 'DECLARES' join m p on p.scan_id = e.scan_id and p.id = e.target and p.type = 'PARAMETER' where u.type = 'METHOD_CALL'",
+    "x12_one_graph": _G + f"select pos, 'node' as kind, type from n where scan_id = 3 and type in {_list(graph.VIEWS['cfg'][0])} union all select pos, 'edge', type from e where scan_id = 3 and type in {_list(graph.VIEWS['cfg'][1])}",
+    "x14_cleaning": _G + f"select scan_id, id, 'sanitizer' as kind from m where type = 'METHOD_CALL' and {_CLEANS.format('name')} union all select scan_id, id, 'validator' from m where type = 'METHOD_CALL' and {_CHECKS.format('name')}",
+    "k7_documents": _G + "select scan_id, 'graph' as part, null::bigint as pos, '2026-01-01T00:00:00Z' as what, count(*) filter (k = 'n') as a, count(*) filter (k = 'e') as b from (select scan_id, 'n' as k from n union all select scan_id, 'e' from e) group by 1 union all select scan_id, 'node', pos, type, id, null from n union all select scan_id, 'edge', pos, type, source, target from e",
+    "d14_rule_taint": _G.rstrip() + f""", blk as (select scan_id, id from m where type = 'METHOD_CALL' and name = 'escapeHtml'),
+      lk as (select * from (select scan_id, source as a, target as b from e where type in {_FLOW_TYPES} or type = 'UNRELATED' union select scan_id, target, source from e where type = 'CONTAINS_ASSIGNMENT') l where not exists (select 1 from blk where blk.scan_id = l.scan_id and blk.id = l.b)),
+      turn as (select scan_id, id from m where type in ('BINARY_EXPRESSION', 'ASSIGNMENT')),
+      hop as (select scan_id, a, 'INPUT' as la, b, 'INPUT' as lb from lk union all select scan_id, a, 'CONCAT', b, 'CONCAT' from lk union all select scan_id, id, 'INPUT', id, 'CONCAT' from turn),
+      st0 as (select scan_id, id as source, id from m where type = 'PARAMETER' union select lk.scan_id, m.id, lk.a from m join lk on lk.scan_id = m.scan_id and lk.b = m.id where m.type = 'PARAMETER' and m.id % 2 = 0),
+      met(scan_id, source, id, label) as (select scan_id, source, id, 'INPUT' from st0 where not exists (select 1 from blk where blk.scan_id = st0.scan_id and blk.id = st0.id) union select w.scan_id, w.source, hop.b, hop.lb from met w join hop on hop.scan_id = w.scan_id and hop.a = w.id and hop.la = w.label)
+      select distinct met.scan_id, source, met.id as sink, label from met join m s on s.scan_id = met.scan_id and s.id = met.id and s.type = 'METHOD_CALL' and (s.name = 'println' or (s.name in ('executeQuery', 'exec') and label = 'CONCAT')) where source <> met.id""",
     "x13_last_nodes": _G + "select scan_id, id, pos, type, name from m",
     "x13_names": _G + "select scan_id, name, count(distinct id) as n, min(id) as first_id from n where type in ('METHOD', 'CONSTRUCTOR') group by 1, 2",
     "proj09_call_flags": _G + f"select name, count(*) as n, count(*) filter (name in {_list(graphs.TAINT_SOURCES)}) as taint_source, count(*) filter (name in {_list(graphs.TAINT_SINKS)}) as taint_sink, count(*) filter (name in {_list(graphs.DANGEROUS)}) as dangerous, count(*) filter (name in {_list(graphs.MEMORY)}) as memory_operation, count(*) filter (name in {_list(graphs.DANGEROUS)}) as flagged from n where type = 'METHOD_CALL' group by 1",
@@ -387,8 +488,24 @@ SQL = {
     "g13_data_flow": _G + "select * from df",
     "g14_components": _G.rstrip() + ", walk(scan_id, id, other) as (select scan_id, a, a from df union select w.scan_id, w.id, df.b from walk w join df on df.scan_id = w.scan_id and df.a = w.other) select scan_id, id, min(other) as component from walk group by 1, 2",
     "g15_reached_sinks": _G.rstrip() + _REACH + " select r.scan_id, r.source, r.id as sink from reach r join snk on snk.scan_id = r.scan_id and snk.id = r.id where r.source <> r.id",
-    "g16_shortest": _G.rstrip() + ", walk(scan_id, source, node, steps) as (select scan_id, id, id, 0 from src where type = 'PARAMETER' union select w.scan_id, w.source, adj.b, w.steps + 1 from walk w join adj on adj.scan_id = w.scan_id and adj.a = w.node where w.steps < 6) select w.scan_id, w.source, w.node as sink, min(steps) as steps from walk w join snk on snk.scan_id = w.scan_id and snk.id = w.node where w.source <> w.node group by 1, 2, 3",
-    "f13_names": _G + f"select name, count(*) as n, regexp_matches(name, '{taint.SANITIZER}') as sanitizes, regexp_matches(name, '{taint.VALIDATOR}') as validates from n group by 1",
+    "g16_shortest": _G.rstrip() + _WALK + " select w.scan_id, w.source, w.node as sink, w.steps from walk w join snk on snk.scan_id = w.scan_id and snk.id = w.node where w.source <> w.node",
+    "g16_paths": _G.rstrip() + _WALK + " select w.scan_id, w.source, w.node as sink, w.steps, array_to_string(w.path, '>') as path from walk w join snk on snk.scan_id = w.scan_id and snk.id = w.node where w.source <> w.node",
+    "g17_taint": _G.rstrip() + _REACH + _WALK + """, fed as (select distinct df.scan_id, df.a from df join m on m.scan_id = df.scan_id and m.id = df.b and m.type = 'STRING_LITERAL')
+      select w.scan_id, w.source, w.node as sink, snk.name as sink_name, case when fed.a is not null and snk.arguments = 1 then 'LOW' else 'HIGH' end as severity, w.steps, array_to_string(w.path, '>') as path
+      from walk w join reach r on r.scan_id = w.scan_id and r.source = w.source and r.id = w.node join snk on snk.scan_id = w.scan_id and snk.id = w.node left join fed on fed.scan_id = w.scan_id and fed.a = w.node where w.source <> w.node""",
+    "g19_weighted_reach": _G.rstrip() + _SPREAD + " select scan_id, source, id, cleaned, checked, round(c, 7) as confidence from heat",
+    "x15_weighted_taint": _G.rstrip() + _SPREAD + f""", per as (select scan_id, source, id, c, cleaned, checked from heat qualify row_number() over (partition by scan_id, source, id order by c desc, cleaned, checked) = 1),
+      weak as (select scan_id, id, name from m where type = 'METHOD_CALL' and name in {_list(taint.SINK_WEIGHTS)}),
+      hit as (select per.scan_id, per.source, per.id as sink, weak.name from per join weak on weak.scan_id = per.scan_id and weak.id = per.id),
+      fl as (select scan_id, source as a, target as b from e where type in {_FLOW_TYPES} union select scan_id, target, source from e where type = 'CONTAINS_ASSIGNMENT'),
+      way(scan_id, source, node, path, w, cleaned, checked) as (
+        select scan_id, source, id, [id], c * {taint.STEP}::double, cleaned, checked from per where source = id and exists (select 1 from hit where hit.scan_id = per.scan_id and hit.source = per.source) and c * {taint.STEP} >= 0.6 - 1e-8
+        union all select way.scan_id, way.source, fl.b, list_append(way.path, fl.b), way.w * per.c * {taint.STEP}, way.cleaned or per.cleaned, way.checked or per.checked from way join fl on fl.scan_id = way.scan_id and fl.a = way.node join per on per.scan_id = way.scan_id and per.source = way.source and per.id = fl.b
+          where not list_contains(way.path, fl.b) and len(way.path) < {taint.MAX_NODES} and way.w * per.c * {taint.STEP} >= 0.6 - 1e-8),
+      done as (select way.*, hit.name as sink_name, row_number() over (partition by way.scan_id, way.source, way.node order by round(w, 9) desc, way.cleaned, way.path) as place from way join hit on hit.scan_id = way.scan_id and hit.source = way.source and hit.sink = way.node where len(way.path) > 1)
+      select scan_id, source, node as sink, sink_name, round(w, 7) as confidence, array_to_string(path, '>') as path, cleaned, checked, place from done where place <= {taint.PATHS_PER_PAIR} and round(w, 9) >= 0.6
+        and not (cleaned and sink_name in {_list(k for k, v in taint.SINK_CLASSES.items() if v in taint.CLEANED_SINK_CLASSES)}) and not (checked and sink_name in {_list(taint.UNVALIDATED_SINKS)})""",
+    "f13_names": _G + f"select name, count(*) as n, {_CLEANS.format('name')} as sanitizes, {_CHECKS.format('name')} as validates from n group by 1",
     "f14_weights": _G + f"""select * from (select scan_id, id, case type when 'METHOD_CALL' then {_WEIGHT(taint.SOURCE_WEIGHTS)} when 'PARAMETER' then case when contains(dataType, 'String') then 0.98 else 0.5 end when 'FIELD' then case when contains(lower(dataType), 'string') or regexp_matches(lower(name), 'input|request|param') then 0.95 end end::double as confidence, 'source' as kind from m
       union all select scan_id, id, case type when 'METHOD_CALL' then {_WEIGHT(taint.SINK_WEIGHTS)} end, 'sink' from m) where confidence is not null""",
     "g18_flow": _G + f"select scan_id, source as a, target as b from e where type in {_FLOW_TYPES} union select scan_id, target, source from e where type = 'CONTAINS_ASSIGNMENT'",
@@ -408,7 +525,7 @@ SQL = {
       l as (select file_id, node as source, node + 1 as target, case when language <> 'python' then 'sequential' when ni > indent then 'enter_block' when ni < indent then 'exit_block' else 'sequential' end as type from c where language <> 'java' and nt is not null
         union all select file_id, cn, node, 'member' from c where language = 'java' and type <> 'ClassDeclaration' and cn is not null
         union all select * from (select file_id, node, lead(node) over (partition by file_id order by node) as nx, 'sequential' from c where type = 'ClassDeclaration') where nx is not null)
-      select file_id, type, count(*) as n, sum(source)::bigint as sources, sum(target)::bigint as targets from l group by 1, 2""",
+      select file_id, type, source, target from l""",
     "f10_semantics": _AST + "select file_id, line_no, r.rule_id, r.severity, r.confidence from checks",
     "x7_composition": _AST + "select rule_id, count(*) as n, count(distinct file_id) as files from (select file_id, r.rule_id from checks union all select file_id, 'sensitive-data-exposure' from sens) group by 1",
     "k8_dot": _G.rstrip() + f""", ke as (select * from e where exists (select 1 from n where n.scan_id = e.scan_id and n.id = e.source) and exists (select 1 from n where n.scan_id = e.scan_id and n.id = e.target)),

@@ -31,30 +31,44 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local folder where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where the driver is the only machine may it be unset."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         sc.setCheckpointDir(folder)
     return folder
 
 
+#: Folders written so far that still stand.
+_standing: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one, if the JVM is still there."""
+    _standing.discard(path)
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by release() or when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if not _standing:
+        atexit.register(release, spark)
+    _standing.add(path)
+    return path
 
-    def drop() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(drop)
-    return path
+def release(spark: SparkSession) -> None:
+    """Delete everything cut() has written: for long sessions, once a query's result is stored."""
+    for path in list(_standing):
+        remove(spark, path)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -62,7 +76,20 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what cut() wrote for df, once nothing reads it any more (a round that the next one has replaced)."""
+    if path := getattr(df, "_cut_path", None):
+        remove(df.sparkSession, path)
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """df to be broadcast if it has at most `bound` rows, as it is if it has more. Reads bound + 1 rows at most."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.severity import normalize
 from sieveline.functions.text import required_literal
+from sieveline.session import cut
 
 RULE = "rule_id string, language string, category string, rule_type string, pattern string, severity string, message string, remediation string, cwe array<string>, owasp string, confidence string, tags array<string>, metadata map<string,string>, source_file string, enabled boolean"
 LOADED = "rule_id string, language string, pattern string, literal string, matches_empty boolean, problem string"
@@ -53,30 +55,44 @@ def project(raw: dict, language: str, source_file: str) -> tuple | None:
     )
 
 
-def from_yaml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rules, quarantine) of the .yaml and .yml files below folder/<language> (sources 5 and 6, U2).
+PARSED = f"{RULE}, reason string"
+
+
+def parse_files(contents: DataFrame) -> DataFrame:
+    """Rules of rule files (path, content: bytes or text), parsed where the files are (sources 5 and 6; projections 7 and 8).
 
-    Rules files are few and small: the driver parses them. What can't be parsed goes to the quarantine with its reason.
+    The language is the first folder below the catalogue's root (column `language`). One row per rule with an identifier;
+    a file that can't be parsed, or holds no list of rules, is one row with its reason and no rule.
     """
-    import yaml  # gated: only this loader needs it
-
-    rules, bad = [], []
-    for base, _, names in os.walk(folder):
-        language = os.path.relpath(base, folder).split(os.sep)[0]
-        for name in sorted(names):
-            if not name.lower().endswith((".yaml", ".yml")):
-                continue
-            path = os.path.join(base, name)
-            try:
-                with open(path, encoding="utf-8", errors="replace") as f:
-                    held = yaml.safe_load(f)
-                entries = held["rules"] if isinstance(held, dict) and isinstance(held.get("rules"), list) else None
-                if entries is None:
-                    raise ValueError("no list of rules")
-                rules += [r for r in (project(x, language, path) for x in entries) if r and r[0]]
-            except (yaml.YAMLError, ValueError, OSError) as error:
-                bad.append((path, str(error).split("\n")[0]))
-    return spark.createDataFrame(rules, RULE), spark.createDataFrame(bad, "path string, reason string")
+    names = [x.split()[0] for x in PARSED.replace("map<string,string>", "map").split(", ")]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml  # gated: only this loader needs it
+
+        load = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
+                try:
+                    held = yaml.load(content.decode("utf-8", "replace") if isinstance(content, (bytes, bytearray)) else content or "", load)  # noqa: S506
+                    entries = held["rules"] if isinstance(held, dict) and isinstance(held.get("rules"), list) else None
+                    if entries is None:
+                        raise ValueError("no list of rules")
+                    rows += [(*r, None) for r in (project(x, language, path) for x in entries) if r and r[0]]
+                except (yaml.YAMLError, ValueError, RecursionError) as error:
+                    rows.append((*[None] * 13, path, None, str(error).split("\n")[0] or "broken"))
+            yield pd.DataFrame(rows, columns=names)
+
+    return contents.select("path", "language", "content").mapInPandas(parse, PARSED)
+
+
+def from_yaml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rules, quarantine) of the .yaml and .yml files below folder/<language>, on any file system Spark reads (sources 5 and 6, U2)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    below = F.regexp_extract(F.col("path"), rf"{re.escape(folder.rstrip('/').split('/')[-1])}/([^/]+)/", 1)
+    kept = files.filter(F.lower("path").rlike(r"\.ya?ml$")).select("path", below.alias("language"), "content")
+    parsed = cut(parse_files(kept), "rule-files")
+    return parsed.filter("reason is null").drop("reason"), parsed.filter("reason is not null").select(F.col("source_file").alias("path"), "reason")
 
 
 def defaults(spark: SparkSession) -> DataFrame:
@@ -129,21 +145,29 @@ def compiled(rules: DataFrame, dialect: str = "java", flags: str = "") -> tuple[
     carries a text its matches must hold and whether it can match nothing.
     """
     spark = rules.sparkSession
-    java = spark.sparkContext._jvm.java.util.regex.Pattern
-    good, bad = [], []
-    if rules.count() > CATALOGUE_BOUND:
+    rows = rules.select("rule_id", F.lower("language").alias("language"), "pattern").limit(CATALOGUE_BOUND + 1).collect()
+    if len(rows) > CATALOGUE_BOUND:
         raise ValueError(f"a catalogue of more than {CATALOGUE_BOUND} rules can't be broadcast; match it part by part")
-    for r in rules.select("rule_id", F.lower("language").alias("language"), "pattern").toLocalIterator():
-        problem, empty = None, False
-        if not r.pattern:
-            problem = "no pattern"
-        elif dialect == "linear" and any(x in r.pattern for x in ("(?=", "(?!", "(?<=", "(?<!", "(?>", "\\1", "\\2")):
-            problem = "look-around or back-reference"
-        else:
-            try:
-                empty = bool(java.compile(flags + r.pattern).matcher("").find())
-            except Exception as error:
-                problem = str(getattr(error, "java_exception", error)).split("\n")[0].split(": ", 1)[-1]
-        row = (r.rule_id, r.language, None if r.pattern is None else flags + r.pattern, None if problem or empty else required_literal(r.pattern), empty, problem)
-        (bad if problem else good).append(row)
-    return spark.createDataFrame(good, LOADED), spark.createDataFrame(bad, LOADED)
+    read = [(r.rule_id, r.language, r.pattern, *_checked(spark, flags, r.pattern, dialect)) for r in rows]
+    out = [(i, lang, None if pattern is None else flags + pattern, literal, empty, problem) for i, lang, pattern, literal, empty, problem in read]
+    return spark.createDataFrame([r for r in out if not r[5]], LOADED), spark.createDataFrame([r for r in out if r[5]], LOADED)
+
+
+_known: dict[tuple[str, str, str], tuple[str | None, bool, str | None]] = {}
+
+
+def _checked(spark: SparkSession, flags: str, pattern: str | None, dialect: str) -> tuple[str | None, bool, str | None]:
+    """(required literal, matches empty text, problem) of a pattern; each is compiled once a session."""
+    if not pattern:
+        return None, False, "no pattern"
+    if dialect == "linear" and any(x in pattern for x in ("(?=", "(?!", "(?<=", "(?<!", "(?>", "\\1", "\\2")):
+        return None, False, "look-around or back-reference"
+    if (key := (flags, pattern, dialect)) not in _known:
+        if len(_known) > CATALOGUE_BOUND:
+            _known.clear()
+        try:
+            empty = bool(spark.sparkContext._jvm.java.util.regex.Pattern.compile(flags + pattern).matcher("").find())
+            _known[key] = (None if empty else required_literal(pattern), empty, None)
+        except Exception as error:
+            _known[key] = (None, False, str(getattr(error, "java_exception", error)).split("\n")[0].split(": ", 1)[-1])
+    return _known[key]

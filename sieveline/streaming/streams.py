@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.operators.history import DIRECTORIES, directories, upsert
 from sieveline.operators.match import find_matches
+from sieveline.session import remove
 from sieveline.sources.files import lines
 
 
@@ -48,21 +49,33 @@ def upsert_directories(scans: DataFrame, target: str, checkpoint: str) -> Stream
     def merge(batch: DataFrame, number: int) -> None:
         current = read_directories(spark, target, before=number)
         upsert(current, directories(batch)).write.mode("overwrite").parquet(f"{target}/v{number}")
+        # A repeated batch reads the version before it, a reader may still read that one; what is older goes.
+        for old in _versions(spark, target):
+            if old < number - 1:
+                remove(spark, f"{target}/v{old}")
 
     query = scans.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def read_directories(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
-    """The newest complete version of the folder table (older than batch `before`)."""
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of a table."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(target)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    if fs.exists(root):
-        for status in fs.listStatus(root):
-            name = os.path.basename(status.getPath().toString())
-            if name.startswith("v") and name[1:].isdigit() and (before is None or int(name[1:]) < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{name}/_SUCCESS")):
-                found.append(int(name[1:]))
+    if not fs.exists(root):
+        return []
+    names = [os.path.basename(s.getPath().toString()) for s in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+
+
+def read_directories(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The newest complete version of the folder table (older than batch `before`)."""
+    found = [v for v in _versions(spark, target) if before is None or v < before]
     return spark.read.schema(DIRECTORIES).parquet(f"{target}/v{max(found)}") if found else spark.createDataFrame([], DIRECTORIES)
+
+
+def progress_of(query: StreamingQuery) -> list[dict]:
+    """What each batch of a query has read and how fast (projection 25): for the console, not a data operator."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"]} for p in query.recentProgress]

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import language, severity, text
-from sieveline.sources import files, rules
+from sieveline.sources import config, files, rules
 
 
 def one(spark, column, **values):
@@ -98,3 +100,53 @@ def test_quarantine(spark):
     assert {r.rule_id: r.matches_empty for r in good.collect()} == {"a": False, "e": True}
     assert {r.rule_id for r in bad.collect()} == {"b", "c", "d"}
     assert {r.rule_id for r in rules.compiled(df)[0].collect()} == {"a", "c", "e"}
+
+
+ATOMS = ["a", "b", "exec", "\\(", "\\.", "\\w", "\\d", "[a-z]", "[^)]", "[]x]", "[\\]a]", "\\p{L}", "\\x41", "\\u0062", "\\03", "(ab|c)", "(?:exec)", "(x)", ".", "\\bfoo", "\\s", "=", "id"]
+BOUNDS = ["", "", "", "?", "*", "+", "{2}", "{1,3}", "{0,2}", "{2,}", "+?", "*+"]
+
+
+def test_required_text_never_loses_a_match(spark):
+    """Filtered by the required text or not, the same lines match: 1,500 patterns, each on lines made from its own pieces."""
+    r = random.Random(11)
+    java = spark.sparkContext._jvm.java.util.regex.Pattern
+    rows = []
+    for _ in range(1500):
+        pattern = "".join(r.choice(ATOMS) + r.choice(BOUNDS) for _ in range(r.randrange(1, 6)))
+        java.compile(pattern)
+        lines = ["".join(r.choice(["a", "b", "exec", "EXEC", "(", ".", "7", "x", "Ab", "c", "foo", " ", "=", "id", "]", "\x03", "é"]) for _ in range(r.randrange(0, 14))) for _ in range(40)]
+        rows += [(pattern, text.required_literal(pattern), line) for line in lines]
+    df = spark.createDataFrame(rows, "pattern string, literal string, line string")
+    hits = df.filter(F.rlike("line", F.col("pattern")))
+    assert hits.filter("literal is not null").count() > 300
+    assert hits.filter("literal is not null and not contains(lower(line), literal)").collect() == []
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [(r"\w{10,20}=", None), (r"[a-z]{100}", None), (r"[^\]]{120,}", None), (r"\p{Alpha}+\d", None), (r"\x41bcd", "bcd"), (r"os\.system\(", "os.system("), (r"abc{2,3}d", None), (r"foo+bar", "foo"), (r"[[a-z]]xyz", None), (r"\Qabc\E", None), ("(?i)PassWord", "password"), ("(?x)a b c d", None), (r"a|bcd", None), (r"(abc)\10def", "def")],
+)
+def test_required_text(pattern, literal):
+    assert text.required_literal(pattern) == literal
+
+
+def test_settings(tmp_path):
+    (tmp_path / "a.yaml").write_text("timeout: 5\nverbose: true\n")
+    (tmp_path / "b.json").write_text('{"timeout": 6}')
+    held = config.read_config(str(tmp_path / "a.yaml"))
+    assert config.merge_config({"timeout": None, "x": 1}, held) == {"timeout": None, "verbose": True, "x": 1}
+    assert config.merge_config({"timeout": None, "x": 1}, held, given_wins=False)["timeout"] == 5
+    assert config.read_config(str(tmp_path / "b.json")) == {"timeout": 6}
+    with pytest.raises(ValueError):
+        config.read_config("a.toml")
+
+
+def test_table_of_a_database(spark):
+    url = "jdbc:derby:memory:scans;create=true"
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no database at hand")
+    spark.range(100).selectExpr("id", "'x' as status").write.format("jdbc").option("url", url).option("dbtable", "scans").save()
+    got = config.jdbc_table(spark, url, "scans", "ID", (0, 100), 4)
+    assert got.count() == 100 and got.rdd.getNumPartitions() == 4

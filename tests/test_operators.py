@@ -23,6 +23,42 @@ def test_spans(spark):
     assert [tuple(x) for x in df.filter("p = '1' and line like 'é%'").select(match.spans("line", "p", "byte")).first()[0]] == [(7, "1"), (9, "1")]
 
 
+def test_spans_of_long_lines(spark):
+    many = "ab" * 3000
+    df = spark.createDataFrame([(many, "b"), ("b" * 129, "b")], "line string, p string")
+    got = [[x.column_no for x in r[0]] for r in df.select(match.spans("line", "p")).collect()]
+    assert got == [list(range(2, 6001, 2)), list(range(1, 130))]
+
+
+def test_ranges_against_brute_force(spark):
+    r = random.Random(8)
+    make_ = lambda n: sorted({(r.randrange(3), (a := r.randrange(40_000) if r.random() < 0.5 else r.randrange(60)), a + r.randrange(1, 30) ** r.randrange(1, 4)) for _ in range(n)})
+    inner, outer = make_(120), make_(40)
+    frame = lambda rows: spark.createDataFrame([(*x, "t") for x in rows], "file_id int, start int, stop int, text string")
+    got = lambda f: sorted((x.file_id, x.start, x.stop) for x in f(frame(inner), frame(outer)).collect())
+    held = [i for i in inner if any(o[0] == i[0] and o[1] <= i[1] and i[2] <= o[2] for o in outer)]
+    hit = [i for i in inner if any(o[0] == i[0] and o[1] < i[2] and i[1] < o[2] for o in outer)]
+    assert 0 < len(held) < len(inner)
+    assert got(algebra.inside) == held and got(algebra.not_inside) == [i for i in inner if i not in held] and got(algebra.not_matching) == [i for i in inner if i not in hit]
+    assert algebra.not_inside(frame(inner), frame(outer).limit(0)).count() == len(inner)
+
+
+def test_templates(spark):
+    f = spark.createDataFrame([(1, 'st.executeQuery("a" + id, f(x, (y)));\nx = x;\nx = y;\nMessageDigest . getInstance("MD5")')], "file_id int, content string")
+    assert [(r.text, r.X) for r in algebra.match_template(f, "$X = $X;").collect()] == [("x = x;", "x")]
+    (call,) = algebra.match_template(f, '$S.executeQuery("..." + $ARG, ...)').collect()
+    assert (call.S, call.ARG, call.text) == ("st", "id", 'st.executeQuery("a" + id, f(x, (y)))')
+    old = algebra.match_template(f, '$X.getInstance("MD5")')
+    fixed = algebra.apply_fixes(f, algebra.fix_template(old, '$X.getInstance("SHA-256")', ["X"]))
+    assert fixed.first().fixed.endswith('x = y;\nMessageDigest.getInstance("SHA-256")')
+
+
+def test_first_fixes(spark):
+    df = spark.createDataFrame([("aXbXcXd",), ("none",), (None,)], "t string")
+    got = [r[0] for r in df.select(algebra.fix(F.col("t"), "X", "<$0>", 2)).collect()]
+    assert got == ["a<X>b<X>cXd", "none", None]
+
+
 def test_matches_by_language_and_plan(spark):
     table, _ = rules.compiled(spark.createDataFrame([("r1", "java", "exec\\("), ("r2", "python", "exec"), ("r3", "java", "x*")], "rule_id string, language string, pattern string"))
     lines = spark.createDataFrame([(1, "java", 1, "a.exec(b); exec(c)"), (2, "cpp", 1, "exec("), (3, "python", 2, None)], "file_id int, language string, line_no int, line string")
