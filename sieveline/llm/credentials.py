@@ -1,10 +1,14 @@
 """Problem 3: credentials in source code, where they are and the code without them.
 
-One deterministic automaton (a trie with failure links, compiled once per worker) carries the openings of all grammars:
-token formats, key armour, connection strings, authorisation schemes, credential words and login calls. It reads each
-text once, in overlapping chunks; where it accepts, the grammar of that opening reads on from the absolute position, in
-the whole text, so a chunk edge cuts nothing. Spans are kept by absolute position, which drops what two chunks both saw,
-and an inner span gives way to the one around it. Redaction splices a plain word over each span, inside its quotes.
+Token formats, key armour, connection strings, names that are given a value, schemes, login calls and options are grammars
+of one deterministic automaton (llm/automaton.py). It reads each batch of texts once, in overlapping chunks whose states are
+checked against each other; where a grammar is accepted its marks give the value's absolute span. Spans that start at one
+name are one case, an inner span gives way to the one around it, and redaction splices a plain word over each span, inside
+its quotes. A name counts by the words it ends in, which is part of the grammar, so an identifier is read once however long.
+
+What the automaton accepts is confirmed by looking at the value alone: look-ups, masks and placeholders are none. A value is
+a placeholder when it is made of plain words and one of them says so, a prompt or a field's name when it reads like one; a
+value with a drawn part (letters and digits mixed, or letters whose case changes as in a drawn string) is neither.
 
 Defined cases: null and empty texts hold nothing and stay as they are; a text of any length is read to its end; a row
 delivered twice has its credentials twice, under its own identifiers; a value joined from pieces is one span from its
@@ -16,255 +20,327 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.automaton import CHUNK, OVERLAP, Automaton, Hit
 from sieveline.session import load
 
-CHUNK, OVERLAP = 1 << 16, 64
+__all__ = ["CHUNK", "OVERLAP", "find", "redact", "spans", "splice"]
 PLACEHOLDER = "REDACTED"
 
-# Openings, lower case, by grammar. The overlap of chunks must not be shorter than the longest.
-TOKEN_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "akia", "asia", "aiza", "eyj", "npm_", "sg.", "hf_", "pypi-", "dop_v1_", "shpat_", "zk.", "ya29.", "sk-")
-ARMOUR = "-----begin "
-WORDS = ("password", "passwd", "passphrase", "passwort", "passe", "pass", "pwd", "pw", "kennwort", "contrasena", "contraseña", "clave", "senha", "wachtwoord", "пароль", "密码", "密碼", "パスワード", "secret", "token", "apikey", "_key", "-key", "key", "credential")
-SCHEMES = ("basic ", "bearer ")
-CALLS = (".login(", ".auth(", ".open(", ".connect(", ".authenticate(", ".signin(", "credentials(", "credential(", "basicauth(")
-OPTIONS = (" -p", " -u", "--user")
-LOGIN_NOTE = "login:"
-
-TOKEN = re.compile(
-    r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[bparse]-[\w-]{16,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/=])|AIza[\w-]{30,}"
-    r"|eyJ[\w-]{6,}\.[\w-]{6,}(?:\.[\w-]*)?|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|hf_[A-Za-z]{30,}|pypi-[\w-]{50,}|dop_v1_[a-f0-9]{40,}|shpat_[a-f0-9]{28,}|zk\.[A-Za-z0-9]{4,}\.[\w-]{16,}|ya29\.[\w-]{20,}|sk-[A-Za-z0-9_-]{32,})"
-)
-PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-END_LINE = re.compile(r"-----END [A-Z0-9 ]+-----")
-OTHER_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
-CONNECTION = re.compile(r"://[^\s/@:'\"`<>]*:([^\s/@'\"`<>]+)@[\w.\-\[$%{]")
-LITERAL = r"(?:[fFrRbBuU@$]{0,2}(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q))"
-ASSIGNED = re.compile(r"(?P<close>[\"'`\]]{0,2})\s*(?::\s*[\w.\[\]<>|?]+\s*=|:=|=>|[=!]==?|=|:)\s*" + LITERAL)
-ARGUMENT = re.compile(r"\s*\(\s*" + LITERAL + r"\s*(?=[,)+])")
-COMPARED = re.compile(r"(?:\(\))?\.(?:equals|equalsIgnoreCase|Equals|compareTo|contentEquals|eq)\s*\(\s*" + LITERAL)
-JOIN = re.compile(r"\s*(?:\+|&|\.\.|\|\|)\s*(?P<q>[\"'])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
-ELEMENT = re.compile(r"(?:\s[^<>\n]*)?>\s*(?P<v>[^<>\s][^<>\n]*?)\s*</")
-ATTRIBUTE = re.compile(r"[\"']\s+value\s*=\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)")
-PLAIN = re.compile(r"(?:\"|')?(?::[ \t]+|=)(?P<v>[^\s\"'`<>(){}\[\],;]+)(?=[ \t]*(?:$|[\r\n]|#|//))")
-DOCKER = re.compile(r"[ \t]+(?P<v>[^\s\"'=]+)(?=[ \t]*(?:$|[\r\n]))")
-REMARK = re.compile(r"(?:\s+(?:is|was|ist|est|es)\b\s*[:=]?|\s*[:=])\s*[\"'`]?(?P<v>[^\s\"'`]+)")
-LOGIN = re.compile(r"login:\s*\S+\s+/\s+(?P<v>\S+)", re.I)
-PAIR = re.compile(r"\(\s*(?P<a>[\"'])[^\"'\n]*(?P=a)\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)(?:\s*\+\s*[\"'][^\"'\n]*[\"'])*\s*\)")
-USER_OPTION = re.compile(r"(?: -u|--user)[ =]?[\"']?(?P<u>[^\s:\"'/]+):(?P<v>[^\s\"']+)")
-PASS_OPTION = re.compile(r" -p[\"']?(?P<v>[^\s\"']+)")
-PASS_COMMAND = re.compile(r"(?:mysql\w*|mariadb\w*|mysqladmin|sshpass|smbclient|ldapsearch)\b[^\n|;]*$", re.I)
-BASIC = re.compile(r"basic\s+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", re.I)
-BEARER = re.compile(r"bearer\s+(?P<v>[A-Za-z0-9._~+/-]{12,}=*)", re.I)
-COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|;|<!--|%)|(?:\s(?://|#|/\*|--)\s)")
+# The words credentials are named by. Those of the first list also count glued to other letters.
+GLUED = ["password", "passwd", "passphrase", "passwort", "kennwort", "secret", "token", "pwd"]
+APART = ["pass", "pw", "senha", "wachtwoord", "contrasena", "contraseña", "secrets", "credential", "credentials", "пароль"]
+UNCASED = ["密码", "密碼", "パスワード"]
+KEY_GLUED = ["api", "signing", "secret", "private", "access", "encryption", "auth", "account", "master", "client"]
+KEY_OF = [*KEY_GLUED, "storage", "webhook", "service", "deploy", "session", "shared", "crypto", "aes", "hmac", "jwt", "decryption", "subscription"]
+PHRASES = [("de", "passe"), ("clave", "secreta"), ("de", "acceso")]
+# Formats of tokens: how they look, and the least length of what varies in them.
+TOKENS = [
+    (r"gh[pousr]_[A-Za-z0-9]+", 24), (r"github_pat_\w+", 31), (r"glpat-[\w-]+", 22), (r"[srp]k_(?:live|test)_[A-Za-z0-9]+", 24), (r"xox[bparse]-[\w-]+", 21), (r"(?:AKIA|ASIA)[A-Z0-9]{16}", 20), (r"AIza[\w-]+", 34), (r"eyJ[\w-]{6,}\.[\w-]{6,}(?:\.[\w-]*)?", 17),
+    (r"npm_[A-Za-z0-9]+", 34), (r"SG\.[\w-]{16,}\.[\w-]{16,}", 36), (r"hf_[A-Za-z]+", 33), (r"pypi-[\w-]+", 55), (r"dop_v1_[a-f0-9]+", 47), (r"shpat_[a-f0-9]+", 34), (r"zk\.[A-Za-z0-9]{4,}\.[\w-]{16,}", 24), (r"ya29\.[\w-]+", 25), (r"sk-[A-Za-z0-9_-]+", 35),
+]
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() else re.escape(c) for c in word)
+
+
+def _either(parts: Sequence[str]) -> str:
+    """Alternatives with shared beginnings read once."""
+    tree: dict[str, dict] = {}
+    for part in parts:
+        at = tree
+        for c in part:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def text(node: dict[str, dict]) -> str:
+        branches = [re.escape(c) + text(below) for c, below in node.items() if c]
+        if not branches:
+            return ""
+        whole = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return f"{whole}?" if "" in node else whole
+
+    return text(tree)
+
+
+def _name() -> str:
+    """An identifier that names a credential itself, not something about one: by its last word, in camel, snake or upper case."""
+    ident, joint, loose = r"[\w$-]*", r"[_$-]+", r"[_$-]*"
+    cap, up = str.capitalize, str.upper
+    lower, upper = rf"(?:{ident}[\d_$-])?", rf"(?:{ident}(?:[^\WA-Z]|[$-]))?"
+    ends = [ident + _either([f(w) for w in GLUED for f in (str, cap, up)] + [f(k + "key") for k in KEY_GLUED for f in (str, cap, up)] + [k + "Key" for k in KEY_GLUED])]
+    ends += [lower + _either(APART + UNCASED), ident + _either([cap(w) for w in APART]), upper + _either([up(w) for w in APART])]
+    for firsts, last in [(KEY_OF, "key"), *(([a], b) for a, b in PHRASES)]:
+        small, caps, ups = _either(firsts), _either([cap(k) for k in firsts]), _either([up(k) for k in firsts])
+        ends += [rf"{lower}{small}(?:{joint}{last}|{loose}{cap(last)}|{joint}{up(last)})", rf"{ident}{caps}(?:{joint}{last}|{loose}{cap(last)}|{loose}{up(last)})", rf"{upper}{ups}(?:{joint}{last}|{loose}{cap(last)}|{joint}{up(last)})"]
+    ends.append(rf"{loose}(?:clave|Clave|CLAVE)")
+    return rf"(?:{'|'.join(ends)}){loose}(?:\d+{loose})*"
+
+
+def _quoted(before: str, after: str = "", marks: str = "\"'`") -> str:
+    """A value in any of the quotes, with what stands before and behind the quotes."""
+    return before + "(?:" + "|".join(rf"{q}((?:\\.|[^{q}\\\n])*){q}" for q in marks) + ")" + after
+
+
+_EDGE = r"[^\w$-]"
+_TO_LINE_END = r"[ \t]*(?:[\n\r\x03]|#|//)"
+_PREFIX = r"[fFrRbBuU@$]{0,2}"
+#: What follows a name, by kind; of those that begin at one name the first that holds decides.
+AFTER_NAME = {
+    "assigned": _quoted(r"[\"'`\]]{0,2}\s*(?::\s*[\w.\[\]<>|?]+\s*=|:=|=>|[=!]==?|=|:)\s*" + _PREFIX),
+    "argument": _quoted(r"\s*\(\s*" + _PREFIX, r"\s*[,)+]"),
+    "compared": _quoted(r"(?:\(\))?\.(?:equals|equalsIgnoreCase|Equals|compareTo|contentEquals|eq)\s*\(\s*" + _PREFIX),
+    "element": r"(?:\s[^<>\n]*)?>\s*([^<>\s](?:[^<>\n]*[^<>\s])?)\s*</",
+    "attribute": _quoted(r"[\"']\s+value\s*=\s*", marks="\"'"),
+    "remark": r"(?:\s+(?:is|was|ist|est|es)\s*[:=]?\s|\s*[:=])\s*[\"'`]?([^\s\"'`\x03]+)[\s\"'`\x03]",
+    "environment": r"[ \t]+([^\s\"'=\x03]+)[ \t]*[\n\r\x03]",
+    "member": r"[\"']?:[ \t]+([^\s\"'`<>(){}\[\],;\x03]+)" + _TO_LINE_END,
+    "plain": r"[\"']?=([^\s\"'`<>(){}\[\],;\x03]+)" + _TO_LINE_END,
+}
+RANK = {kind: k for k, kind in enumerate(AFTER_NAME)}
+_COMMENT = r"(?:[\n\x02][ \t]*(?://|#|/\*|\*|--|;|<!--|%)|\s(?://|#|/\*|--)\s)[^\n]*"
+CONTEXTS = {
+    "comment": _COMMENT,
+    "command": rf"(?:{'|'.join(map(_any_case, ('mysql', 'mariadb')))})\w*[^\w\n|;][^\n|;]*|(?:{'|'.join(map(_any_case, ('mysqladmin', 'sshpass', 'smbclient', 'ldapsearch')))})[^\w\n|;][^\n|;]*",
+    "environment": r"[\n\x02][ \t]*(?:ENV|ARG|setenv|set)[ \t]+",
+    "exported": r"[^\w](?:export|set|env|declare)[ \t]+(?:-\w+[ \t]+)?",
+    "blank": r"[\n\x02][ \t]*",
+    "defined": r"[^\w]def ",
+}
+#: Keys of connection strings made of key=value pairs, as they are written there.
+_PAIR_KEYS = "|".join(map(_any_case, ("password", "pwd", "accountkey", "sharedaccesskey", "secretkey")))
+
+
+def grammars() -> list[tuple]:
+    token_edge = r"[^\w+/]"
+    return [
+        (list(AFTER_NAME), _EDGE, _name(), list(AFTER_NAME.values())),
+        ("token", token_edge, f"({'|'.join(form for form, _ in TOKENS)})" + r"(?:[^\w-])"),
+        ("piece", "", _quoted(r"[\"']\s*(?:\+|&|\.\.|\|\|)\s*", marks="\"'")),
+        ("private", "", r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),
+        ("armour", "", r"(-----BEGIN [A-Z0-9 ]+-----)"),
+        ("armour end", "", r"(-----END [A-Z0-9 ]+-----)"),
+        ("address", "", r"://[^\s/@:'\"`<>\x03]*:([^\s/@'\"`<>\x03]+)@[\w.\-\[$%{]"),
+        ("pairs", r"[^\w]", rf"[\w][\w .]*=[^;\"'`=\n\x03]*;(?:\s*[\w .]+=[^;\"'`=\n\x03]*;)*\s*(?:{_PAIR_KEYS})=([^;\"'`\s(){{}}\x03]+)[;\"'`\s\x03]"),
+        ("basic", r"[^A-Za-z0-9]", _any_case("basic") + r"\s+([A-Za-z0-9+/_-]{8,}={0,2})[^A-Za-z0-9+/_=-]"),
+        ("bearer", r"[^A-Za-z0-9]", _any_case("bearer") + r"\s+([A-Za-z0-9._~+/-]{12,}=*)[^A-Za-z0-9._~+/=-]"),
+        ("call", "", rf"(?:\.(?:{'|'.join(map(_any_case, ('login', 'auth', 'open', 'connect', 'authenticate', 'signin')))})|{_any_case('credential')}[sS]?|{_any_case('basicauth')})\(\s*(?:\"[^\"'\n]*\"|'[^\"'\n]*')\s*,\s*" + _quoted("", r"(?:\s*\+\s*[\"'][^\"'\n]*[\"'])*\s*\)", "\"'")),
+        ("user option", "", r"(?: -u|--user)[ =]?[\"']?[^\s:\"'/\x03]+:([^\s\"'\x03]+)[\s\"'\x03]"),
+        ("pass option", "", r" -p[\"']?([^\s\"'\x03]+)[\s\"'\x03]"),
+        ("note", "", _any_case("login") + r":\s*[^\s\x03]+\s+/\s+([^\s\x03]+)[\s\x03]"),
+    ]
+
+
+@lru_cache(maxsize=1)
+def automaton() -> Automaton:
+    """The automaton of all grammars; one per process, and what it has learnt of texts stays."""
+    return Automaton(grammars(), CONTEXTS)
+
 
+# What a value looks like that is none.
 LOOKUP = re.compile(r"^(?:[$#@]?\{|\$\(|\$[A-Za-z_]|%[A-Za-z_]+%$|<.*>$|\{\{|\[\[|__\w+__$|env[.:(]|vault:|arn:|ssm:|file:|https?://|os\.|process\.|System\.|ENV\[|config\.|settings\.)", re.I)
-STAND_IN = re.compile(
-    r"^(?:(?:your|my|the|insert|enter|replace|change|put|add|set|example|sample|dummy|fake|placeholder|todo|fixme|tbd|redacted|removed|hidden|masked|censored|null|none|nil|undefined|true|false|n/?a|empty|unset|default|foo|bar|abc|test)(?:[\W_].*|me|this|it|here)?|.*(?:_here|changeme|placeholder|replace_?me)|(.)\1{3,}|[*xX.•#_\-?]+)$",
-    re.I,
-)
-KEY_WORD = re.compile(r"pass(?:word|wd|phrase|wort|e)?$|pwd$|pw$|kennwort|contrase[nñ]a|clave|secreta?|senha|wachtwoord|пароль|密码|密碼|パスワード|token|credentials?|(?:api|signing|secret|private|access|encryption|auth|account|master|client|license|storage|webhook|service|deploy|session|shared|crypto|aes|hmac|jwt)key$", re.I)
-STRONG = {"password", "passwd", "passphrase", "passwort", "pass", "pwd", "pw", "kennwort", "contrasena", "contraseña", "senha", "wachtwoord", "secret", "secrets", "token", "credential", "credentials", "apikey", "пароль", "密码", "密碼", "パスワード"}
-KEY_OF = {"api", "signing", "secret", "private", "access", "encryption", "auth", "account", "master", "client", "storage", "webhook", "service", "deploy", "session", "shared", "crypto", "aes", "hmac", "jwt", "decryption", "subscription"}
-GLUED = re.compile(r"(?:password|passwd|passphrase|passwort|kennwort|secret|token|(?:api|signing|secret|private|access|encryption|auth|account|master|client)key|pwd)$")
-CASES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
+MASK = re.compile(r"(.)\1{3,}|[*xX.•#_\-?]+")
+FIELDISH = re.compile(r"^[A-Za-z_\-.\s]*$")
+KEY_WORD = re.compile(r"(?:pass(?:word|wd|phrase|wort|e)?|pwd|pw|kennwort|contrase[nñ]a|clave|secreta?|senha|wachtwoord|пароль|密码|密碼|パスワード|token|credentials?|(?:api|signing|secret|private|access|encryption|auth|account|master|client|license|storage|webhook|service|deploy|session|shared|crypto|aes|hmac|jwt)key)$", re.I)
+WORDS = re.compile(r"[^\W_]+")
+CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Names in camel, snake or upper case, with dots: what an unquoted value looks like when it is code.
 CODE = re.compile(r"(?:_*(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)(?:[_.]|$))+")
-FIELDISH = re.compile(r"^[A-Za-z_\-.\s]*$")
+# Words of placeholders, words of prompts and notes, and values that are types or schemes.
+STAND_IN = frozenset("your my the insert enter replace change put add set example sample dummy fake placeholder todo fixme tbd redacted removed hidden masked censored null none nil undefined true false na empty unset default foo bar abc test here changeme replaceme me".split())
+SAYING = frozenset("enter type your the a an is are was must should can cannot not no please again new old for of to in and or with by wrong invalid missing required expired reset forgot forgotten confirm repeat choose does match".split())
+PLAIN_WORDS = frozenset("bearer basic digest string str text hidden".split())
 
 
-@lru_cache(maxsize=65536)
-def names_credential(name: str) -> bool:
-    """Does an identifier name a credential itself, not something about one (its length, label, type, address)?"""
-    words = [w.lower() for w in CASES.findall(name)]
-    while words and words[-1].isdigit():
-        words.pop()
-    if not words:
-        return False
-    last = words[-1]
-    if last in STRONG or GLUED.search(last):
+def drawn(word: str) -> bool:
+    """A run of letters and digits as no one writes words: letters and digits mixed, or case that changes every other letter."""
+    if len(word) >= 5 and re.search(r"\d", word) and len(re.findall(r"[A-Za-z]+|\d+", word)) > 2:
+        return True
+    return shuffled(word)
+
+
+def shuffled(value: str) -> bool:
+    """Letters whose case changes as in a drawn string: runs of one case are far shorter than in camel case."""
+    runs = re.findall(r"[A-Z]+|[a-z]+", value)
+    return len(value) >= 8 and bool(runs) and sum(map(len, runs)) / len(runs) < 2.8 and not value.isupper()
+
+
+def stand_in(value: str) -> bool:
+    """A mask, or plain words of which the first or the last is one of placeholders."""
+    if MASK.fullmatch(value):
         return True
-    if last == "key" and len(words) > 1 and words[-2] in KEY_OF:
+    words = WORDS.findall(value)
+    if not words or any(drawn(w) for w in words):
+        return False
+    lower = [w.lower() for w in words]
+    if lower[0] in STAND_IN or lower[-1] in STAND_IN or "".join(lower) in STAND_IN:
         return True
-    return words[-2:] in (["de", "passe"], ["clave", "secreta"], ["de", "acceso"]) or words == ["clave"]
+    parts = [w.lower() for word in words for w in CAMEL.findall(word)]
+    return bool(parts) and (parts[-1] in ("here", "placeholder", "changeme") or parts[-2:] == ["replace", "me"] or (parts[0] in STAND_IN and not any(p.isdigit() for p in parts)))
 
 
 @lru_cache(maxsize=65536)
 def is_secret(value: str) -> bool:
-    """Not a look-up, a placeholder, a mask, a prompt or the name of a field."""
-    if not value or len(value) < 3 or re.search(r"\s", value) or LOOKUP.match(value) or STAND_IN.match(value):
+    """Not a look-up, a placeholder, a mask, a prompt, a note or the name of a field."""
+    if len(value) < 3 or LOOKUP.match(value) or stand_in(value):
         return False
+    if re.search(r"\s", value):  # a pass phrase: words that make no sentence
+        words = [w.lower() for w in WORDS.findall(value)]
+        return len(words) >= 3 and re.fullmatch(r"\S+(?: \S+)+", value) is not None and not set(words) & SAYING and not any(KEY_WORD.fullmatch(w) for w in words) and value[-1] not in ".:?!" and not re.search(r"[(){}<>=%$,;:\"']", value) and value == value.lower()
     if FIELDISH.match(value) and KEY_WORD.search(value.strip("_-. ")):
         return False
-    return value.lower() not in {"bearer", "basic", "digest", "string", "str", "text", "hidden"}
-
-
-def shuffled(value: str) -> bool:
-    """Letters whose case changes as in a drawn string: runs of one case are far shorter than in camel case."""
-    runs = re.findall(r"[A-Z]+|[a-z]+", value)
-    return len(value) >= 8 and bool(runs) and sum(map(len, runs)) / len(runs) < 2.8 and not value.isupper()
+    return value.lower() not in PLAIN_WORDS
 
 
 def plausible(value: str) -> bool:
     """A value that no name vouches for: also needs a digit, a mark or drawn letters, and mustn't be a path or an address."""
     telling = bool(re.search(r"[0-9!@#$%^&*]", value)) or shuffled(value)
-    return is_secret(value) and len(value) >= 6 and "/" not in value[:1] and "://" not in value and telling and not re.fullmatch(r"[\d.:,\-]+", value)
+    return is_secret(value) and not re.search(r"\s", value) and len(value) >= 6 and "/" not in value[:1] and "://" not in value and telling and not re.fullmatch(r"[\d.:,\-]+", value)
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    """All openings in one automaton; built once per process."""
-    a = ahocorasick.Automaton()
-    for kind, openings in (("token", TOKEN_PREFIXES), ("armour", (ARMOUR,)), ("connection", ("://",)), ("word", WORDS), ("scheme", SCHEMES), ("call", CALLS), ("option", OPTIONS), ("note", (LOGIN_NOTE,))):
-        for o in openings:
-            a.add_word(o, (kind, len(o)))
-    a.make_automaton()
-    return a
-
-
-def _lower(text: str) -> str:
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def _line(text: str, at: int) -> str:
-    return text[text.rfind("\n", 0, at) + 1 : at]
-
-
-def _joined(text: str, end: int) -> tuple[int, int]:
-    """The end of the last piece added to a literal whose value ends at `end`, and how many pieces were added."""
-    at, last, n = end + 1, end, 0
-    while m := JOIN.match(text, at):
-        at, last, n = m.end(), m.end("v"), n + 1
-    return last, n
-
-
-def _identifier(text: str, a: int, b: int) -> tuple[int, int]:
-    while a and (text[a - 1].isalnum() or text[a - 1] in "_-$"):
-        a -= 1
-    while b < len(text) and (text[b].isalnum() or text[b] in "_-$"):
-        b += 1
-    return a, b
-
-
-def _word(text: str, a: int, b: int) -> tuple[int, int, str] | None:
-    """The value that the credential-named identifier around [a, b) is given, if it is a literal one."""
-    a, b = _identifier(text, a, b)
-    name = text[a:b]
-    if not names_credential(name.lstrip("-$")):
-        return None
-    before = _line(text, a)
-    for grammar in (ASSIGNED, ARGUMENT, COMPARED):
-        if m := grammar.match(text, b):
-            if grammar is ARGUMENT and (before[-1:] not in ".\t " or before.endswith("def ")) and before:
-                return None
-            s, e = m.span("v")
-            last, pieces = _joined(text, e)
-            whole = m["v"] if not pieces else text[s:last]
-            if grammar is ARGUMENT and not text[last + 1 :].lstrip().startswith(")"):
-                return None
-            if pieces:
-                return (s, last, "assigned") if is_secret(re.sub(r"[\"']\s*\S+\s*[\"']", "", whole)) else None
-            return (s, e, "assigned") if is_secret(m["v"]) else None
-    if before.endswith("<") and (m := ELEMENT.match(text, b)):
-        return (*m.span("v"), "element") if is_secret(m["v"]) else None
-    if before[-1:] in "\"'" and (m := ATTRIBUTE.match(text, b)):
-        return (*m.span("v"), "attribute") if is_secret(m["v"]) else None
-    if COMMENT.search(before) and (m := REMARK.match(text, b)):
-        value = m["v"].rstrip(".,;)") if m["v"].count(".") < 2 else m["v"]
-        strong = plausible(value) or (is_secret(value) and m[0].lstrip()[0] in ":=")
-        return (m.start("v"), m.start("v") + len(value), "remark") if strong and len(value) > 4 else None
-    if re.search(r"^\s*(?:ENV|ARG|setenv|set)\s+$", before) and (m := DOCKER.match(text, b)):
-        return (*m.span("v"), "environment") if is_secret(m["v"]) else None
-    if m := PLAIN.match(text, b):
-        assigned, v = m[0].lstrip("\"'")[0], m["v"]
-        if is_secret(v) and not CODE.fullmatch(v) and (assigned == ":" or not before.endswith((" ", "\t")) or not before.strip() or re.search(r"\b(?:export|set|env|declare)\s+(?:-\w+\s+)?$", before)):
-            return (*m.span("v"), "plain")
-    return None
-
-
-def _at(text: str, kind: str, a: int, b: int) -> tuple[int, int, str] | None:
-    """What the grammar behind an opening at [a, b) finds."""
-    if kind == "word":
-        return _word(text, a, b)
-    if kind == "token":
-        if a and (text[a - 1].isalnum() or text[a - 1] in "_+/"):
+_CLOSED = re.compile(r"\s*\)")
+_JOINTS = re.compile(r"[\"']\s*(?:\+|&|\.\.|\|\|)\s*[\"']")
+_FORMS = [(re.compile(form), least) for form, least in TOKENS]
+
+
+def _of_name(text: str, hit: Hit, context: frozenset[str], pieces: dict[int, int]) -> tuple[int, int] | None:
+    """The span a name's value has, if it is a credential."""
+    s, e = hit.open, hit.close
+    if hit.kind in ("assigned", "argument", "compared"):
+        if hit.kind == "argument" and (text[hit.start - 1 : hit.start] not in ("", "\n", ".", "\t", " ") or "defined" in context):
             return None
-        m = TOKEN.match(text, a)
-        if not m or STAND_IN.match(m[0]):
+        last = _joined(e, pieces)
+        if hit.kind == "argument" and not _CLOSED.match(text, last + 1):
             return None
-        last, pieces = _joined(text, m.end()) if text[m.end() : m.end() + 1] in ("'", '"') else (m.end(), 0)
-        return (a, last if pieces else m.end(), "token")
-    if kind == "armour":
-        m = PRIVATE.match(text, a)
-        if not m:
+        whole = text[s:last] if last == e else _JOINTS.sub("", text[s:last])
+        return (s, last) if is_secret(whole) else None
+    value = text[s:e]
+    if hit.kind == "remark":
+        if value.count(".") < 2:
+            value = value.rstrip(".,;)")
+        return (s, s + len(value)) if len(value) > 4 and (plausible(value) or (is_secret(value) and ":" in text[hit.start : s] or is_secret(value) and "=" in text[hit.start : s])) else None
+    if hit.kind in ("member", "plain"):
+        return (s, e) if is_secret(value) and not CODE.fullmatch(value) else None
+    return (s, e) if is_secret(value) else None
+
+
+def _fits(text: str, hit: Hit, context: frozenset[str]) -> bool:
+    """Does a name's grammar hold in the place it was found at?"""
+    before = text[hit.start - 1 : hit.start]
+    if hit.kind == "element":
+        return before == "<"
+    if hit.kind == "attribute":
+        return before in ("'", '"') and before != ""
+    if hit.kind == "remark":
+        return "comment" in context
+    if hit.kind == "environment":
+        return "environment" in context
+    if hit.kind == "plain":
+        return before not in (" ", "\t") or "blank" in context or "exported" in context
+    return True
+
+
+def _joined(end: int, pieces: dict[int, int]) -> int:
+    """Where the last piece added to a literal ends whose value ends at `end`."""
+    while end in pieces:
+        end = pieces[end]
+    return end
+
+
+def _alone(text: str, hit: Hit, context: frozenset[str], pieces: dict[int, int]) -> tuple[int, int] | None:
+    """The span of a grammar that needs no name."""
+    s, e, kind = hit.open, hit.close, hit.kind
+    value = text[s:e]
+    if kind == "token":
+        if not any(len(value) >= least and form.fullmatch(value) for form, least in _FORMS) or stand_in(value):
             return None
-        end = END_LINE.search(text, m.end())
-        return (a, end.end() if end else len(text), "private key")
-    if kind == "connection":
-        m = CONNECTION.match(text, a)
-        return (*m.span(1), "connection") if m and is_secret(m[1]) and not LOOKUP.match(m[1]) else None
-    if kind == "scheme":
-        if a and text[a - 1].isalnum():
+        return (s, _joined(e, pieces)) if text[e : e + 1] in ("'", '"') else (s, e)
+    if kind in ("address", "pairs"):
+        return (s, e) if is_secret(value) else None
+    if kind == "basic":
+        try:
+            plain = base64.b64decode(value + "=" * (-len(value) % 4)).decode("utf-8", "strict")
+        except (binascii.Error, ValueError):
             return None
-        if m := BASIC.match(text, a):
-            try:
-                plain = base64.b64decode(m["v"] + "=" * (-len(m["v"]) % 4)).decode("utf-8", "strict")
-            except (binascii.Error, ValueError):
-                return None
-            user, colon, secret = plain.partition(":")
-            return (*m.span("v"), "basic") if colon and is_secret(secret) else None
-        m = BEARER.match(text, a)
-        return (*m.span("v"), "bearer") if m and plausible(m["v"]) else None
+        _, colon, secret = plain.partition(":")
+        return (s, e) if colon and is_secret(secret) else None
+    if kind == "bearer":
+        return (s, e) if plausible(value) else None
     if kind == "call":
-        m = PAIR.match(text, b - 1)
-        if not m or not plausible(m["v"]):
-            return None
-        last, _ = _joined(text, m.end("v"))
-        return (m.start("v"), last, "call")
-    if kind == "option":
-        line = _line(text, a)
-        if m := USER_OPTION.match(text, a):
-            return (*m.span("v"), "option") if is_secret(m["v"]) else None
-        if (m := PASS_OPTION.match(text, a)) and PASS_COMMAND.search(line):
-            return (*m.span("v"), "option") if is_secret(m["v"]) and not re.fullmatch(r"\d{2,5}", m["v"]) else None
-        return None
-    m = LOGIN.match(text, a)
-    return (*m.span("v"), "remark") if m and plausible(m["v"]) and COMMENT.search(_line(text, a)) else None
-
-
-def spans(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the credentials of a text, 0-based, in order and apart from each other."""
-    if not text:
-        return []
-    scan, low = automaton(), _lower(text)
-    seen: set[tuple[int, str]] = set()
+        return (s, _joined(e, pieces)) if plausible(value) else None
+    if kind == "user option":
+        return (s, e) if is_secret(value) else None
+    if kind == "pass option":
+        return (s, e) if "command" in context and is_secret(value) and not re.fullmatch(r"\d{2,5}", value) else None
+    return (s, e) if kind == "note" and "comment" in context and plausible(value) else None
+
+
+def _read(text: str, hits: list[Hit], contexts) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the credentials among the matches of a text, in order and apart from each other."""
+    pieces = {h.start: h.close for h in hits if h.kind == "piece"}
+    ends = sorted({h.close for h in hits if h.kind == "armour end"})
     found: dict[int, tuple[int, int, str]] = {}
-    for base in range(0, len(low), CHUNK):
-        for stop, (kind, n) in scan.iter(low, base, min(len(low), base + CHUNK + OVERLAP)):
-            at = stop - n + 1
-            if (at, kind) in seen and kind != "word":
-                continue
-            seen.add((at, kind))
-            if (hit := _at(text, kind, at, stop + 1)) and (hit[0] not in found or hit[1] > found[hit[0]][1]):
-                found[hit[0]] = hit
-    if not found:
-        return []
-    public = [] if ARMOUR not in low else [(m.start(), e.end() if (e := END_LINE.search(text, m.end())) else len(text)) for m in OTHER_ARMOUR.finditer(text) if not PRIVATE.match(text, m.start())]
+
+    def keep(span: tuple[int, int] | None, kind: str) -> None:
+        if span and (span[0] not in found or span[1] > found[span[0]][1]):
+            found[span[0]] = (*span, kind)
+
+    def closed(start: int) -> int:
+        k = bisect_right(ends, start)
+        return ends[k] if k < len(ends) else len(text)
+
+    private = {h.open for h in hits if h.kind == "private"}
+    public = [(h.open, closed(h.close)) for h in hits if h.kind == "armour" and h.open not in private]
+    by_name: dict[int, list[Hit]] = {}
+    for h in hits:
+        if h.kind in RANK:
+            by_name.setdefault(h.start, []).append(h)
+        elif h.kind == "private":
+            keep((h.open, closed(h.close)), "private key")
+        elif h.kind not in ("piece", "armour", "armour end"):
+            keep(_alone(text, h, contexts(h.start), pieces), h.kind)
+    for start, held in by_name.items():
+        context = contexts(start)
+        fitting = [h for h in held if _fits(text, h, context)]
+        if fitting:
+            # An unquoted value goes as far as it may, so that a '#' in it doesn't end it.
+            first = min(fitting, key=lambda h: (RANK[h.kind], -h.close if h.kind in ("member", "plain") else h.close))
+            keep(_of_name(text, first, context, pieces), first.kind)
     out: list[tuple[int, int, str]] = []
+    k = 0
+    public.sort()
     for s, e, kind in sorted(found.values(), key=lambda h: (h[0], -h[1])):
-        if (not out or s >= out[-1][1]) and not any(a <= s < b for a, b in public):
+        while k < len(public) and public[k][1] <= s:
+            k += 1
+        if (not out or s >= out[-1][1]) and not (k < len(public) and public[k][0] <= s):
             out.append((s, e, kind))
     return out
 
 
+def all_spans(texts: Sequence[str | None]) -> list[list[tuple[int, int, str]]]:
+    """The credentials of each text of a batch."""
+    a = automaton()
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    held = [k for k, t in enumerate(texts) if t]
+    for k, classes, states in a.states([texts[k] for k in held]):
+        if hits := a.hits(classes, states):
+            out[held[k]] = _read(texts[held[k]], hits, lambda at, states=states: a.contexts[states[at]])
+    return out
+
+
+def spans(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the credentials of a text, 0-based, in order and apart from each other."""
+    return all_spans([text])[0]
+
+
 def splice(text: str, where: list[tuple[int, int, str]]) -> str:
     """The text with a placeholder over each span; what surrounds a span stays, so quotes still close."""
     out, at = [], 0
@@ -287,8 +363,8 @@ def find(df: DataFrame, record_id: str, fields: dict[str, str]) -> DataFrame:
             ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], []]
             for k, name in enumerate(names, 1):
-                for i, text in zip(ids, batch.column(k).to_pylist(), strict=True):
-                    for s, e, kind in spans(text):
+                for i, where in zip(ids, all_spans(batch.column(k).to_pylist()), strict=True):
+                    for s, e, kind in where:
                         for col, x in zip(cols, (i, name, s + 1, e, kind), strict=True):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SPAN_TYPES.types, strict=True)], schema=_SPAN_TYPES)
@@ -307,8 +383,9 @@ def redact(df: DataFrame, record_id: str, fields: dict[str, str]) -> DataFrame:
             ids = batch.column(0).to_pylist()
             rows = []
             for k, name in enumerate(names, 1):
-                for i, text in zip(ids, batch.column(k).to_pylist(), strict=True):
-                    if where := spans(text):
+                texts = batch.column(k).to_pylist()
+                for i, text, where in zip(ids, texts, all_spans(texts), strict=True):
+                    if where:
                         rows.append((i, name, splice(text, where), len(where)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
