@@ -2,9 +2,9 @@
 
 Re-Pair grammars over token sequences give the candidates, an exact check confirms them:
 
-* comment lines: one grammar over all distinct comment shapes, inferred in rounds. A round counts adjacent symbols over
-  the whole corpus and replaces, everywhere at once, the pairs that are counted more often than both their neighbours.
-  A rule used in several files speaks for generation (banners), one shared by several repositories for vendoring;
+* comment lines: one grammar over all distinct comment shapes of the corpus, inferred to its end. Rules that several files
+  use speak for generation (banners), rules that several repositories share for vendoring, where they cover most of a line;
+* code lines: one grammar over the sequences of code lines. A stretch of many tokens that repositories share is vendored;
 * long code lines: a grammar of each line's own tokens. High rule reuse among terse names speaks for minification;
 * long literals: a grammar of their characters. What no rule makes shorter speaks for a data blob;
 * the path speaks for itself.
@@ -15,20 +15,22 @@ with its folders and its snippets together; repeated rows change nothing; an emp
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
-from collections import defaultdict
 from collections.abc import Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.session import cut, hot_split_join, load
+from sieveline.session import cut, discard, hot_split_join, load
 
-ROUNDS = 5
-LONG_LINE, LONG_LITERAL, LONG_ARRAY = 100, 160, 40
+#: From what size on a line, a literal and a table of numbers are told from ordinary ones: a line of 60 characters holds some
+#: 24 tokens of terse code; the longest checksum written out, SHA-512 in hexadecimal, has 128 characters.
+LONG_LINE, LONG_LITERAL, LONG_ARRAY = 60, 130, 40
+#: The part of a banner that rules of several files must cover, and the tokens of a stretch of code that repositories share.
+REUSED, SHARED_TOKENS = 0.5, 60
 JOINT = "\x01"
 
 # Folders and endings that tools and package managers use.
@@ -57,63 +59,51 @@ COMMENT_LINE = r"^\s*(?://|#|/\*|\*|--|;|<!--|%|@Generated\b|'''|\"\"\"|\[(?:ass
 WORKSPACE = r"^(?:[a-z]:)?(?:\./|/?(?:srv/scan|home/ci/work|build|home/[^/]+(?:/work)?|workspace|src|tmp|var/lib/[^/]+)/)?"
 
 
-def symbols_left(seq: Sequence[Hashable]) -> tuple[list, dict[int, tuple], int]:
-    """Re-Pair of one sequence: (what is left of it, its rules, how often rules are used). O(n log n)."""
-    code: dict[Hashable, int] = {}
-    syms = [code.setdefault(s, len(code)) for s in seq]
-    n, fresh = len(syms), len(code)
-    nxt, prv, dead = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i in range(n - 1):
-        where[syms[i], syms[i + 1]].add(i)
-    heap = [(-len(v), p) for p, v in where.items() if len(v) > 1]
-    heapq.heapify(heap)
-    rules: dict[int, tuple] = {}
-    used = 0
-    while heap:
-        count, pair = heapq.heappop(heap)
-        spots = where.get(pair, set())
-        if len(spots) != -count:
-            if len(spots) > 1:
-                heapq.heappush(heap, (-len(spots), pair))
-            continue
-        chosen: list[int] = []
-        for i in sorted(spots):
-            if not (chosen and nxt[chosen[-1]] == i):  # of overlapping ones the first
-                chosen.append(i)
-        if len(chosen) < 2:
-            continue
-        touched = set()
-        for i in chosen:
-            j = nxt[i]
-            before, after = prv[i], nxt[j]
-            if before >= 0:
-                where[syms[before], syms[i]].discard(before)
-            if after < n:
-                where[syms[j], syms[after]].discard(j)
-            syms[i], dead[j] = fresh, 1
-            nxt[i] = after
-            if after < n:
-                prv[after] = i
-                where[fresh, syms[after]].add(i)
-                touched.add((fresh, syms[after]))
-            if before >= 0:
-                where[syms[before], fresh].add(before)
-                touched.add((syms[before], fresh))
-        rules[fresh] = pair
-        used += len(chosen)
-        where.pop(pair, None)
-        for p in touched:
-            if len(where[p]) > 1:
-                heapq.heappush(heap, (-len(where[p]), p))
-        fresh += 1
-    return [syms[i] for i in range(n) if not dead[i]], rules, used
+def symbols_left(seq: Sequence[Hashable]) -> tuple[list[int], dict[int, tuple[int, int]], int]:
+    """Re-Pair of one sequence: (what is left of it, its rules, how often rules are used).
+
+    All pairs that are counted at least as often as both their neighbours are replaced at once, until no pair is left that
+    stands twice: a sort per round and rounds that grow with the logarithm of the longest phrase, in arrays of the
+    sequence's own size, so a literal of many megabytes is read whole in bounded memory.
+    """
+    if isinstance(seq, str):
+        seq = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.uint32)
+    else:
+        code: dict[Hashable, int] = {}
+        seq = np.fromiter((code.setdefault(s, len(code)) for s in seq), np.int64)
+    first = np.unique(seq, return_index=True)[1]
+    named = np.empty(len(first), np.int64)
+    named[np.argsort(first, kind="stable")] = np.arange(len(first))  # symbols are numbered as they are met
+    now = named[np.unique(seq, return_inverse=True)[1]] if len(seq) else np.zeros(0, np.int64)
+    fresh, rules, used = len(first), {}, 0
+    while len(now) > 1:
+        pairs, which, counts = np.unique(now[:-1] * fresh + now[1:], return_inverse=True, return_counts=True)
+        n = counts[which]
+        around = np.concatenate([[0], n, [0]])
+        best = (n > 1) & (n >= around[:-2]) & (n >= around[2:])
+        # Of candidates side by side every other one, from the left.
+        at = np.arange(len(best))
+        run = at - np.maximum.accumulate(np.where(best, -1, at))
+        picked = np.flatnonzero(best & (run % 2 == 1))
+        kept, back, times = np.unique(which[picked], return_inverse=True, return_counts=True)
+        picked = picked[times[back] > 1]
+        if not len(picked):
+            break
+        made, back = np.unique(which[picked], return_inverse=True)
+        for k, pair in enumerate(pairs[made].tolist()):
+            rules[fresh + k] = divmod(pair, fresh)
+        now = now.copy()
+        now[picked] = fresh + back
+        gone = np.ones(len(now), bool)
+        gone[picked + 1] = False
+        now, fresh, used = now[gone], fresh + len(made), used + len(picked)
+    return now.tolist(), rules, used
 
 
 def reuse(tokens: Sequence[Hashable]) -> float:
     """The part of a token sequence that its own grammar saves."""
     left, rules, _ = symbols_left(tokens)
-    return 1 - (len(left) + 2 * len(rules)) / len(tokens) if tokens else 0.0
+    return 1 - (len(left) + 2 * len(rules)) / len(tokens) if len(tokens) else 0.0
 
 
 def incompressible(symbols: Sequence[Hashable]) -> float:
@@ -139,7 +129,7 @@ def is_minified(line: str) -> bool:
     tokens = TOKENS.findall(bare)
     names = [t for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in KEYWORDS]
     marks = sum(t in ";{},()" for t in tokens)
-    if len(tokens) < 40 or len(names) < 12 or marks < 8:
+    if len(tokens) < 24 or len(names) < 8 or marks < 6:
         return False
     short = sum(len(t) <= 2 for t in names) / len(names)
     shape = ["i" if (t[0].isalpha() or t[0] in "_$") and t not in KEYWORDS else "0" if t[0].isdigit() else "s" if t[0] in "\"'" else t for t in tokens]
@@ -181,12 +171,17 @@ def repository(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(normal_path(path), WORKSPACE, ""), r"^([^/]+)/", 1)
 
 
-def corpus_grammar(seqs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(key, rules): each sequence (key, toks) with the phrases of the corpus-wide Re-Pair rules it is made of."""
+def corpus_grammar(seqs: DataFrame) -> DataFrame:
+    """(key, toks, rules): the Re-Pair grammar of all sequences (key, toks, weight) together, inferred to its end.
+
+    A round counts adjacent symbols over the corpus, a sequence as often as its weight says, and replaces everywhere at once
+    the pairs counted more than once and at least as often as both their neighbours. It ends when no sequence gets shorter.
+    toks are what is left of a sequence, a rule being written as its phrase; rules are all phrases met on the way.
+    """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, toks, rules, counts = (c.to_pylist() for c in batch.columns)
+            keys, toks, rules, weights, counts = (c.to_pylist() for c in batch.columns)
             for k, (t, c) in enumerate(zip(toks, counts, strict=True)):
                 n = [0] * len(t)
                 for x in c:
@@ -202,40 +197,89 @@ def corpus_grammar(seqs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         out.append(t[i])
                         i += 1
                 toks[k], rules[k] = out, list(dict.fromkeys(got))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(toks, pa.list_(pa.string())), pa.array(rules, pa.list_(pa.string()))], names=["key", "toks", "rules"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(toks, pa.list_(pa.string())), pa.array(rules, pa.list_(pa.string())), pa.array(weights, pa.int64())], names=["key", "toks", "rules", "weight"])
+
+    def measured(df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = cut(df.observe(seen, F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n")), "grammar")
+        return out, seen.get["n"]
 
-    now = seqs.select("key", "toks", F.array().cast("array<string>").alias("rules"))
-    for _ in range(rounds):
+    now, size = measured(seqs.select("key", "toks", F.array().cast("array<string>").alias("rules"), F.col("weight").cast("bigint").alias("weight")))
+    while True:
         steps = F.expr("case when size(toks) > 1 then transform(sequence(1, size(toks) - 1), i -> struct(i - 1 as pos, toks[i - 1] as a, toks[i] as b)) end")
-        pairs = now.select("key", F.explode(steps).alias("p")).select("key", "p.pos", "p.a", "p.b")
-        counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
-        told = hot_split_join(pairs, counts, ["a", "b"], "n").groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("c"))
+        pairs = now.select("key", "weight", F.explode(steps).alias("p")).select("key", "weight", "p.pos", "p.a", "p.b")
+        counts = cut(pairs.groupBy("a", "b").agg(F.sum("weight").alias("n"), F.count("*").alias("uses")).filter("n > 1"), "pair-counts")
+        told = hot_split_join(pairs, counts, ["a", "b"], "uses").groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("c"))
         none = F.array().cast("array<struct<pos:int,n:bigint>>")
-        joined = now.join(told, "key", "left").select("key", "toks", "rules", F.coalesce("c", none).alias("c"))
-        now = cut(joined.mapInArrow(rewrite, "key string, toks array<string>, rules array<string>"), "grammar")
-    return now.select("key", "rules")
+        joined = now.join(told, "key", "left").select("key", "toks", "rules", "weight", F.coalesce("c", none).alias("c"))
+        new, left = measured(joined.mapInArrow(rewrite, "key string, toks array<string>, rules array<string>, weight bigint"))
+        discard(now)
+        discard(counts)
+        now = new
+        if left == size:
+            return now.select("key", "toks", "rules")
+        size = left
+
+
+def coverage(made: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, by_files, by_repos, longest): which parts of a sequence's tokens lie in rules that several files, and several
+    repositories, use, and the most tokens such a shared rule holds. known: key with the ends p0, p1 of its files' and r0, r1
+    of its repositories' order, which tell whether there are several without counting them."""
+    uses = made.select("key", F.explode("rules").alias("rule"))
+    spread = uses.join(known, "key").groupBy("rule").agg((F.min("p0") < F.max("p1")).alias("reused"), (F.min("r0") < F.max("r1")).alias("shared"), F.count("*").alias("uses"))
+    size = lambda c: F.aggregate(F.split(c, JOINT), F.lit(0), lambda n, s: n + F.coalesce(F.try_to_number(F.regexp_extract(s, "\x02(\\d+)$", 1), F.lit("999999")).cast("int"), F.lit(1)))
+    parts = made.select("key", F.explode("toks").alias("rule")).withColumn("size", size(F.col("rule")))
+    rules = hot_split_join(parts.filter(F.contains("rule", F.lit(JOINT))), cut(spread, "rules"), ["rule"], "uses")
+    whole = parts.groupBy("key").agg(F.sum("size").alias("tokens"))
+    told = rules.groupBy("key").agg(F.sum(F.when(F.col("reused"), F.col("size")).otherwise(0)).alias("f"), F.sum(F.when(F.col("shared"), F.col("size")).otherwise(0)).alias("r"), F.max(F.when(F.col("shared"), F.col("size")).otherwise(0)).alias("longest"))
+    return whole.join(told, "key").select("key", (F.col("f") / F.col("tokens")).alias("by_files"), (F.col("r") / F.col("tokens")).alias("by_repos"), F.col("longest").cast("int").alias("longest"))
 
 
-def comment_signs(lines: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(file_path, sign) of the files whose comment lines (file_path, line) are banners of tools or libraries."""
+def comment_lines(lines: DataFrame) -> DataFrame:
+    """Distinct (file_path, key): the shapes of comment lines, numbers left out."""
     comment = F.when(F.col("line").rlike(COMMENT_LINE), F.col("line")).otherwise(F.nullif(F.regexp_extract("line", r"\s((?://|#|/\*)\s.*)$", 1), F.lit("")))
-    shape = F.regexp_replace(F.lower(F.trim(comment)), r"\p{N}+", "0")
-    held = cut(lines.select("file_path", shape.alias("key")).filter("key is not null").distinct(), "comments")
+    shape = F.translate(F.regexp_replace(F.lower(F.trim(comment)), r"\p{N}+", "0"), JOINT, " ")
+    return lines.select("file_path", shape.alias("key")).filter("key is not null").distinct()
+
+
+def spread_of(held: DataFrame) -> DataFrame:
+    """(key, files, p0, p1, r0, r1) of distinct (file_path, key)."""
     repo = repository(F.col("file_path"))
-    known = held.groupBy("key").agg(F.count("*").alias("files"), F.min("file_path").alias("p0"), F.max("file_path").alias("p1"), F.min(repo).alias("r0"), F.max(repo).alias("r1"))
-    known = cut(known, "shapes")
-    seqs = known.select("key", F.expr(r"regexp_extract_all(key, '[\\p{L}\\p{M}]+|[^\\s\\p{L}\\p{M}]', 0)").alias("toks"))
-    made = corpus_grammar(seqs, rounds)
-    uses = made.select("key", F.explode("rules").alias("rule"))
-    # Over how many files and repositories a rule spreads shows in the ends of their order: no distinct count is needed.
-    spread = uses.join(known, "key").groupBy("rule").agg((F.min("p0") < F.max("p1")).alias("reused"), (F.min("r0") < F.max("r1")).alias("shared"), F.count("*").alias("uses"))
-    told = hot_split_join(uses, spread, ["rule"], "uses").groupBy("key").agg(F.max("reused").alias("reused"), F.max("shared").alias("shared"))
-    generated = F.col("reused") & F.col("key").rlike(GENERATED_TEXT) & ~F.col("key").rlike(DENIED)
-    vendored = F.col("shared") & F.col("key").rlike(VENDORED_TEXT) & ~F.col("key").rlike(DENIED)
-    banners = told.withColumn("sign", F.when(generated, "generated").when(vendored, "vendored")).filter("sign is not null").join(known.select("key", "files"), "key").select("key", "sign", "files")
+    return held.groupBy("key").agg(F.count("*").alias("files"), F.min("file_path").alias("p0"), F.max("file_path").alias("p1"), F.min(repo).alias("r0"), F.max(repo).alias("r1"))
+
+
+def comment_signs(lines: DataFrame, reused: float = REUSED, phrases: bool = True) -> DataFrame:
+    """(file_path, sign) of the files whose comment lines (file_path, line) are banners of tools or libraries.
+
+    A shape is a candidate when rules that several files (several repositories) use cover the part `reused` of it; the exact
+    check of its wording follows. phrases=False leaves the check out, to measure what it adds.
+    """
+    held = cut(comment_lines(lines), "comments")
+    known = cut(spread_of(held), "shapes")
+    seqs = known.select("key", F.expr(r"regexp_extract_all(key, '[\\p{L}\\p{M}]+|[^\\s\\p{L}\\p{M}]', 0)").alias("toks"), F.col("files").alias("weight"))
+    told = coverage(corpus_grammar(seqs), known)
+    says = lambda words: F.col("key").rlike(words) & ~F.col("key").rlike(DENIED) if phrases else F.lit(True)
+    sign = F.when((F.col("by_files") >= reused) & says(GENERATED_TEXT), "generated").when((F.col("by_repos") >= reused) & says(VENDORED_TEXT), "vendored")
+    banners = told.withColumn("sign", sign).filter("sign is not null").join(known.select("key", "files"), "key").select("key", "sign", "files")
     return hot_split_join(held, cut(banners, "banners"), ["key"], "files").select("file_path", "sign")
 
 
+def shared_code(rows: DataFrame, least: int = SHARED_TOKENS) -> DataFrame:
+    """(file_path, sign) of files with a stretch of code lines, of `least` tokens or more, that several repositories have.
+
+    The sequences are a snippet's code lines, each a symbol that knows how many tokens it holds; comment and blank lines are
+    left out. Rules of the corpus grammar over them are stretches of adjacent lines.
+    """
+    bare = F.filter(F.transform(F.split("code", r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: (x != "") & ~x.rlike(COMMENT_LINE))
+    symbols = F.transform(bare, lambda x: F.concat(F.md5(x), F.lit("\x02"), F.size(F.regexp_extract_all(x, F.lit(r"\w+|[^\s\w]"), F.lit(0))).cast("string")))
+    each = rows.filter(F.contains("code", F.lit("\n")) | F.contains("code", F.lit("\r"))).select("file_path", symbols.alias("toks")).filter("size(toks) > 1")
+    held = cut(each.select("file_path", F.md5(F.array_join("toks", ",")).alias("key"), "toks").distinct(), "code-lines")
+    known = cut(spread_of(held.select("file_path", "key")), "code-shapes")
+    seqs = held.groupBy("key").agg(F.first("toks").alias("toks"), F.count("*").alias("weight"))
+    told = coverage(corpus_grammar(seqs), known).filter(F.col("longest") >= least).join(known.select("key", "files"), "key").select("key", "files")
+    return hot_split_join(held.select("file_path", "key"), cut(told, "shared-code"), ["key"], "files").select("file_path", F.lit("vendored").alias("sign"))
+
+
 def path_signs(paths: DataFrame) -> DataFrame:
     """(file_path, sign) of the paths that tools and package managers write."""
     p = normal_path(F.col("file_path"))
@@ -243,12 +287,12 @@ def path_signs(paths: DataFrame) -> DataFrame:
     return paths.select("file_path", F.when(inside.rlike(VENDORED_PATH), "vendored").when(inside.rlike(GENERATED_PATH), "generated").alias("sign")).filter("sign is not null")
 
 
-def machine_made(df: DataFrame, path: str, snippet: str, rounds: int = ROUNDS) -> DataFrame:
+def machine_made(df: DataFrame, path: str, snippet: str, phrases: bool = True) -> DataFrame:
     """(file_path, signs): every distinct path that shows a sign, with the signs it shows."""
     rows = df.select(F.expr(path).alias("file_path"), F.expr(snippet).alias("code")).filter("file_path is not null")
     lines = rows.filter("code <> ''").select("file_path", F.explode(F.split("code", r"\r\n|\r|\n")).alias("line"))
     code = rows.filter(F.length("code") >= LONG_LINE).mapInArrow(_long_code, "file_path string, sign string")
-    signs = path_signs(rows.select("file_path").distinct()).unionByName(comment_signs(lines, rounds)).unionByName(code)
+    signs = path_signs(rows.select("file_path").distinct()).unionByName(comment_signs(lines, phrases=phrases)).unionByName(shared_code(rows)).unionByName(code)
     return signs.groupBy("file_path").agg(F.sort_array(F.collect_set("sign")).alias("signs"))
 
 

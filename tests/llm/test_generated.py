@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import pytest
 
@@ -25,6 +27,17 @@ def test_grammar_gives_the_sequence_back(text):
         code.setdefault(c, len(code))
     assert expand(left, rules) == [code[c] for c in text]
     assert len(left) + 2 * len(rules) <= max(len(text), 1) + 2
+    assert not any(n > 1 for n in Counter(zip(left, left[1:])).values()) or len(set(left)) == 1 or len(left) < 4 or max(Counter(apart(left)).values()) < 2
+
+
+def apart(left):
+    """Adjacent pairs that don't overlap, from the left."""
+    out, last = [], {}
+    for i, p in enumerate(zip(left, left[1:])):
+        if last.get(p) != i - 1:
+            out.append(p)
+            last[p] = i
+    return out
 
 
 def test_measures():
@@ -66,3 +79,26 @@ def test_files(spark):
         "c-d/src/v1.js": ["vendored"], "a-b/src/v2.js": ["vendored"], "a-b/src/m.js": ["minified"], "a-b/src/b.py": ["blob"],
     }
     assert p4.machine_made(df.limit(0), "file_path", "code_snippet").count() == 0
+
+
+def test_a_literal_of_megabytes():
+    text = "".join(R.choices(B64, k=3_000_000))
+    began = time.perf_counter()
+    assert p4.is_blob(f'x = "{text}"')
+    assert time.perf_counter() - began < 60
+
+
+def test_code_that_repositories_share(spark):
+    r = random.Random(7)
+    body = "\n".join(f"value_{r.randrange(999)} = merge(left[{k}], right[{k}], mode_{r.randrange(9)})" for k in range(12))
+    own = "\n".join(f"other_{r.randrange(999)} = call({k}, x{r.randrange(99)}, y)" for k in range(12))
+    rows = [("a-b/src/one.py", f"{own}\n{body}"), ("c-d/src/two.py", f"import os\n{body}\nx = 1"), ("a-b/src/three.py", own), ("c-d/src/four.py", "import os\nimport sys"), ("a-b/src/five.py", "import os\nimport sys"), ("a-b/src/six.py", own)]
+    df = spark.createDataFrame(rows, "file_path string, code_snippet string")
+    assert sorted((x.file_path, x.signs) for x in p4.machine_made(df, "file_path", "code_snippet").collect()) == [("a-b/src/one.py", ["vendored"]), ("c-d/src/two.py", ["vendored"])]
+
+
+def test_grammar_of_the_corpus_ends_by_itself(spark):
+    df = spark.createDataFrame([("a", list("abcdefgh" * 4), 1), ("b", list("abcdefgh"), 3), ("c", list("xyz"), 1), ("d", ["q"], 9), ("e", [], 2)], "key string, toks array<string>, weight int")
+    got = {x.key: x.toks for x in p4.corpus_grammar(df).collect()}
+    assert got["b"] == [p4.JOINT.join("abcdefgh")] and got["c"] == list("xyz") and got["d"] == ["q"] and got["e"] == []
+    assert "".join(got["a"]).replace(p4.JOINT, "") == "abcdefgh" * 4
