@@ -47,13 +47,28 @@ def test_long_text():
 def test_table_and_corpus(spark):
     rows = [(i, f"Use the qmx. value {i} now. Nothing else ends here.") for i in range(60)] + [(100, None), (101, ""), (102, "He gave qmx. 5 to us. Bye."), (102, "He gave qmx. 5 to us. Bye.")]
     df = spark.createDataFrame([(i, t, "w") for i, t in rows], "doc_id bigint, text string, words string")
-    assert [r[0] for r in p9.corpus_abbreviations(df, "text").collect()] == ["qmx"]
-    got = sorted(tuple(r) for r in p9.split_documents(df, "doc_id", "text").collect() if r.doc_id >= 100)
-    assert got == [(102, 1, 1, 21), (102, 1, 1, 21), (102, 2, 23, 26), (102, 2, 23, 26)]
-    p9.CLOSURE_BOUND, kept = 0, p9.CLOSURE_BOUND
-    try:
-        joined = sorted(tuple(r) for r in p9.split_documents(df, "doc_id", "text").collect() if r.doc_id >= 100)
-    finally:
-        p9.CLOSURE_BOUND = kept
-    assert {r for r in joined} == {r for r in got}
+    got = sorted(tuple(r) for r in p9.split_documents(df, "doc_id", "text", texts=True).collect() if r.doc_id >= 100)
+    assert got == [(102, 1, 1, 21, "He gave qmx. 5 to us."), (102, 1, 1, 21, "He gave qmx. 5 to us."), (102, 2, 23, 26, "Bye."), (102, 2, 23, 26, "Bye.")]
+    alone = p9.split_documents(df.filter("doc_id = 102"), "doc_id", "text").select("start_pos").distinct().collect()
+    assert sorted(r[0] for r in alone) == [1, 14, 23]
     assert p9.split_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_the_document_speaks_before_the_corpus_and_the_lists():
+    assert len(p9.units("The answer is no. 12 files remain.")) == 2
+    assert len(p9.units("See No. 12 of it. Done.")) == 2
+    assert len(p9.units("We count to max. 5 runs are kept.")) == 1
+    assert len(p9.units("We know the max of it. We count to max. 5 runs are kept.")) == 3
+    assert len(p9.units("We count to max. 5 runs are kept.", plain=frozenset(["max"]))) == 2
+    assert len(p9.units("It is qmx. Then it ends.")) == 2 and len(p9.units("It is qmx. Then it ends.", known=frozenset(["qmx"]))) == 1
+
+
+def test_the_corpus_overrules_the_lists(spark):
+    rows = [(i, f"They run on max.\n\nEach day {i} ends with max.\n\nNothing more.") for i in range(30)] + [(100, "It was at max. 12 files remain.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.start_pos for r in p9.split_documents(df, "doc_id", "text").collect() if r.doc_id == 100) == [1, 16]
+
+
+def test_very_long_words_and_runs():
+    text = "x" * 300_000 + ". Next one. " + "a. " * 50_000 + "1" + " " * 50_000 + "2. Z"
+    assert len(p9.units(text)) >= 2
