@@ -62,9 +62,45 @@ def test_random_with_a_hot_key(spark):
     assert found(spark, history, incoming) == brute(history, incoming)
 
 
+def test_a_fingerprint_holds_a_third_of_what_comes_in(spark):
+    r = random.Random(9)
+    history = [(i, "a", f"f.py:{r.randrange(60)}:1", f"d{i}") for i in range(1, 30)]
+    incoming = [(i, 1 + i % 3, r.choice(["a", "b"]), f"f.py:{r.randrange(90)}", r.choice(["Hot", "d3", f"n{i}"])) for i in range(100, 190)]
+    assert found(spark, history, incoming) == brute(history, incoming)
+
+
+def test_a_later_session_reads_hashes_only(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    history = [(1, "a", "f:1", "x"), (2, "b", "g:9", None)]
+    first = [(10, 1, "c", "h:5", "y"), (11, 1, "a", "f:3", None)]
+    h = spark.createDataFrame([(*x, 1, "z") for x in history], H)
+    n = lambda rows: spark.createDataFrame([(*x, "z") for x in rows], N)
+    index = p2.HashHistory(spark, path, buckets=3)
+    assert sorted(map(tuple, p2.dedup_batches(h, n(first), index=index).collect())) == [(1, 11)]
+    index.close()
+    again = p2.HashHistory(spark, path, buckets=7)
+    assert again.made and again.buckets == 3
+    out = p2.dedup_batches(None, n([(20, 1, None, None, "Y "), (21, 1, "b", "x/g:6", None), (22, 1, "c", "h:9", None)]), index=again)
+    assert sorted(map(tuple, out.collect())) == [(2, 21), (10, 20)]
+    assert sorted(map(tuple, p2.dedup_batches(None, n([(30, 1, "c", "h:12", None)]), index=again).collect())) == [(22, 30)]
+
+
+def test_coverage(spark):
+    index = p2.HashHistory(spark)
+    assert index.match(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H))).count() == 0
+    index.append(p2.with_keys(spark.createDataFrame([(1, "a", "f:5", "x", 1, "z")], H)))
+    rows = p2.with_keys(spark.createDataFrame([(2, "a", "f:6", "X", 1, "z"), (3, "a", "f:3", None, 1, "z"), (4, None, None, None, 1, "z")], H))
+    assert sorted(map(tuple, index.coverage(rows).collect())) == [(2, True, 3, 1), (3, False, 2, 1), (4, False, 0, 0)]
+
+
+def test_the_history_is_combined_before_it_is_shuffled(spark):
+    plan = p2.hashes(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H)), 4).groupBy("h1", "h2").agg(p2.F.min("finding_id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(h1") < plan.rindex("partial_min")
+
+
 def test_append_is_history_for_the_next(spark):
     index = p2.HashHistory(spark)
-    index.build(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H)))
+    index.append(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H)))
     new = p2.with_keys(spark.createDataFrame([(2, "b", "g:1", "y", 1, "z")], H))
     assert index.match(new).count() == 0
     index.append(new)
@@ -74,10 +110,13 @@ def test_append_is_history_for_the_next(spark):
 
 def test_history_side_is_not_shuffled(spark):
     index = p2.HashHistory(spark)
-    index.build(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H)))
+    index.append(p2.with_keys(spark.createDataFrame([(1, "a", "f:1", "x", 1, "z")], H)))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = index.match(p2.with_keys(spark.createDataFrame([(3, "b", "g:3", None, 1, "z")], H)))._jdf.queryExecution().executedPlan().toString()
+        _, distinct = index._sought(p2.with_keys(spark.createDataFrame([(3, "b", "g:3", None, 1, "z")], H)))
+        plan = index._hits(distinct)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Bucketed: true" in plan
+    assert "Bucketed: true" in plan and index.table in plan
+    history = plan[plan.index("Bucketed: true") - 2000 :] if plan.index("Bucketed: true") > 2000 else plan
+    assert "SortMergeJoin" in plan and history.count("Exchange hashpartitioning(h1") <= 2
