@@ -1,3 +1,4 @@
+import json
 import random
 from collections import deque
 
@@ -89,6 +90,43 @@ def test_nested_levels(spark):
     assert nested.shred(df.limit(0), "report_id", "payload", nested.SCAN_REPORT).count() == 0
 
 
+def test_nested_odd_documents(spark):
+    """What a VARIANT doesn't hold is read all the same: depth, repeated keys, what stands behind a document, many wrappings."""
+    v, deep = "vulnerabilities", "[" * 30_000 + "]" * 30_000
+    wrapped = '{"vulnerabilities": {"context": {"lines": 1}}}'
+    for _ in range(7):
+        wrapped = json.dumps({"report": wrapped})
+    docs = [
+        (1, '{"vulnerabilities":[{"context":{"lines":' + deep + "}}]}"), (2, '{"vulnerabilities":1,"vulnerabilities":[{"a":1}]}'), (3, '{"vulnerabilities":[{}]} x'), (4, '{"vulnerabilities":[{}]}], [1'), (5, wrapped), (6, '{"vulnerabilities":[{"context":"{\\"lines\\":1,\\"lines\\":[2,3]}"}]}'),
+        (None, '{"vulnerabilities":[{}]}'), (8, ' {"vulnerabilities":[{"x":"\\ud800","n":1e5}]} '), (9, '{"report":{"report":[]}}'), (10, "\ufeff{}"), (11, '{"vulnerabilities":[{}],"n":01}'),
+    ]
+    df = spark.createDataFrame(docs, "report_id bigint, payload string")
+    nodes = nested.shred(df, "report_id", "payload", nested.SCAN_REPORT).cache()
+    got = sorted((r.record_id or 0, r.node_path) for r in nodes.collect())
+    assert got == [(0, f"{v}/0"), (1, f"{v}/0"), (1, f"{v}/0/lines/0"), (2, f"{v}/0"), (5, f"{v}/0"), (5, f"{v}/0/lines/0"), (6, f"{v}/0"), (6, f"{v}/0/lines/0"), (6, f"{v}/0/lines/1"), (8, f"{v}/0")]
+    assert nodes.filter("record_id = 1 and ordinal = 0 and node like '[%'").first().node == deep[1:-1]
+    assert [(r.value, r.parent_path) for r in nested.table(nodes, f"{v}/lines").filter("record_id = 6").orderBy("ordinal").collect()] == [("2", f"{v}/0"), ("3", f"{v}/0")]
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1,]", '{"a":}', '{"a":1,}', "[1 2]", "{1:2}", "1 2", '["a', "[1]]", "nul", "01", "-", '{"a" 1}', "[,1]"])
+def test_deep_reader_takes_no_broken_text(text):
+    with pytest.raises(ValueError):
+        nested.parse_deep(text)
+
+
+def test_deep_reader_agrees_with_the_library():
+    r = random.Random(6)
+
+    def value(depth):
+        kind = r.randrange(8 if depth else 5)
+        return [None, True, -3, 2.5e10, 'a"\\\u00e9\n'][kind] if kind < 5 else [value(depth - 1) for _ in range(r.randrange(4))] if kind < 7 else {str(k): value(depth - 1) for k in range(r.randrange(4))}
+
+    for _ in range(300):
+        x = value(5)
+        text = json.dumps(x, indent=r.choice([None, 1]))
+        assert nested.parse_deep(text) == x and json.loads(nested.write_deep(x)) == x
+
+
 def test_components_against_search(spark):
     r = random.Random(4)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]
