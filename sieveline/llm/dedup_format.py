@@ -47,8 +47,8 @@ def encode(records: DataFrame, record_id: str, fields: Sequence[str]) -> DataFra
     raw = cells.groupBy("field", "raw").agg(F.count("*").alias("uses")).withColumn("canon", canonical(F.col("raw")))
     raw = cut(raw, "raw-values")
     # Written once, so an identifier never changes when a task is repeated.
-    ids = cut(raw.select("field", "canon").distinct().withColumn("value_id", F.monotonically_increasing_id()), "value-ids")
-    dictionary = raw.join(ids, ["field", "canon"]).select("field", "raw", "uses", "value_id")
+    ids = cut(raw.groupBy("field", "canon").agg(F.count("*").alias("spellings")).withColumn("value_id", F.monotonically_increasing_id()), "value-ids")
+    dictionary = hot_split_join(raw, ids, ["field", "canon"], "spellings").select("field", "raw", "uses", "value_id")
     coded = hot_split_join(cells, cut(dictionary, "dictionary"), ["field", "raw"], "uses")
     return coded.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("field", "value_id"))).alias("t")).select("record_id", F.col("t.value_id").alias("cells"))
 

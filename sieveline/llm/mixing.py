@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.tokenize import TOKENIZER, TOKENIZERS, count_tokens
 from sieveline.session import cut, hot_split_join, load
 
-STEPS, TOLERANCE, SPREAD = 60, 1e-9, 1024
+TOLERANCE, SPREAD = 1e-9, 1024
 
 
 def goals(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | None) -> dict[str, tuple[float, int]]:
@@ -44,7 +44,11 @@ def _rate(cap: str = "cap", lam: str = "lam", scale: str = "scale", tokens: str
 
 
 def solve(cells: DataFrame, want: dict[str, tuple[float, int]], available: dict[str, int], sizes: dict[str, int]) -> tuple[dict[str, float], dict[str, float], int]:
-    """Newton's iterations on the duals of all sources: (lambda, scale of tokens, steps taken). Brackets guard the steps."""
+    """Newton's iterations on the duals of all sources: (lambda, scale of tokens, steps taken).
+
+    A bracket guards each source's step; it is halved wherever Newton's step would leave it, so it ends by itself. A source
+    whose bracket holds no other number any more is as near its goal as a rate can bring it.
+    """
     spark = cells.sparkSession
     scale = {s: available[s] / sizes[s] for s in want}
     lam = dict.fromkeys(want, 0.0)
@@ -52,7 +56,7 @@ def solve(cells: DataFrame, want: dict[str, tuple[float, int]], available: dict[
     open_ = {s for s, (goal, cap) in want.items() if goal < cap * available[s] * (1 - 1e-12)}
     full = set(want) - open_
     step = 0
-    while open_ and step < STEPS:
+    while open_:
         step += 1
         now = spark.createDataFrame([(s, want[s][1], lam[s], scale[s], False) for s in open_], "source string, cap int, lam double, scale double, full boolean")
         at = cells.join(F.broadcast(now), "source").withColumn("rate", F.expr(_rate()))
@@ -73,6 +77,9 @@ def solve(cells: DataFrame, want: dict[str, tuple[float, int]], available: dict[
                     new = lam[s] + (4.0 if given < goal else -4.0)
                 else:
                     new = (low[s] + high[s]) / 2
+            if new in (low[s], high[s], lam[s]):
+                open_.discard(s)
+                continue
             lam[s] = new
     return lam | dict.fromkeys(full, 0.0), scale, step
 
@@ -126,7 +133,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     # One row per target, so the window over all of them is as small as their table.
     total = F.sum("tokens_used").over(W.partitionBy())
     zero = {c: 0 for c in ("documents", "tokens_available", "copies", "most_copies", "tokens_used")}
-    return targets.select("source", "target_share", "max_repeats").join(F.broadcast(given), "source", "left").fillna(zero).withColumn("actual_share", F.col("tokens_used") / total)
+    told = targets.select("source", "target_share", "max_repeats").join(F.broadcast(given), "source", "left").fillna(zero).withColumn("actual_share", F.col("tokens_used") / total)
+    # A source whose documents would allow more holds back for the one that is used up: the shares of all are kept.
+    most = F.col("tokens_available") * F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))
+    return told.withColumn("tokens_possible", most).withColumn("used_up", (F.col("tokens_used") > 0) & (F.col("tokens_used") >= most))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

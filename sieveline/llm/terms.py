@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.session import load, shuffle_width
+from sieveline.session import cut, load, shuffle_width
 
 BLOCK_BITS = 16
 DENSE_FROM = 4096
@@ -167,6 +167,7 @@ def frequencies(df: DataFrame, record_id: str, fields: dict[str, str]) -> DataFr
         .mapInArrow(_merge, "field_name string, term string, records bigint, occurrences bigint")
     )
     totals = merged.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    totals = cut(totals, "term-totals")
     # One row, whatever the data.
     n = totals.filter(F.col("field_name") == EVERY).agg(F.coalesce(F.max("records"), F.lit(0)).alias("all_records"))
     return totals.filter(F.col("field_name") != EVERY).join(F.broadcast(n))

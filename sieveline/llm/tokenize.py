@@ -5,8 +5,10 @@ A partition's texts are cut into words by the tokenizer's pattern; words not see
 of minimum rank until no pair is left; an ordered aggregation gathers each word's ids. A word is encoded once per worker,
 however often it occurs.
 
-Words over LONG_WORD bytes are contracted step by step in a table instead, all occurrences of the minimum pair at once,
-because a recursive query keeps all its steps; the result is the same, since a pair made by a merge ranks behind it.
+All words are contracted by the same recursive query, which holds a word's current tokens only: a step replaces the rows of
+the step before (a recursion with a key), so a word of any length needs memory for its tokens, not for all its steps. In a
+step every word merges all its pairs of minimum rank that don't overlap, from the left; that gives what merging the leftmost
+one at a time gives, since a pair made by a merge ranks behind it.
 
 Defined cases: null and empty texts have an empty list; special tokens' strings are ordinary text; texts and words of any
 length are encoded whole; a document delivered twice has two rows.
@@ -17,10 +19,11 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,54 +33,36 @@ from sieveline.session import load
 
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
-LONG_WORD = 512
-#: Bounds of one recursive query: token rows, and rows of all steps (at most the sum of squared lengths).
-QUERY_ROWS, QUERY_STEPS = 200_000, 4_000_000
+#: Token rows of one recursive query; only a word longer than that is more.
+QUERY_ROWS = 200_000
 KEPT_WORDS = 300_000
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CONTRACT = """
-with recursive state(word, pos, tok, step) as (
-  select word, pos, tok, 0 from seed
+with recursive state(word, pos, tok, nxt) using key (word, pos) as (
+  select word, pos, tok, lead(pos) over (partition by word order by pos) from seed
   union all
-  select word, pos, case when hit then made else tok end, step + 1
+  select word, unnest([pos, nxt]), unnest([made, null]), unnest([far, null])
   from (
-    select *, lag(hit, 1, false) over (partition by word order by pos) as eaten
+    select *, row_number() over (partition by word, run order by pos) % 2 = 1 as hit
     from (
-      select *, rank is not null and pos = leftmost as hit
+      select *, nth - row_number() over (partition by word order by pos) as run
       from (
-        select *, min(case when rank = best then pos end) over (partition by word) as leftmost
+        select a.word, a.pos, a.nxt, a.far, a.nth, m.made, m.rank, min(m.rank) over (partition by a.word) as best
         from (
-          select s.word, s.pos, s.tok, s.step, m.rank, m.made, min(m.rank) over (partition by word) as best
-          from (select *, lead(tok) over (partition by word order by pos) as following from state) s
-          left join merges m on m.l = s.tok and m.r = s.following
-        )
-        where best is not null
-      )
+          select *, row_number() over w as nth, lead(tok) over w as following, lead(nxt) over w as far
+          from recurring.state where tok is not null and word in (select word from state) window w as (partition by word order by pos)
+        ) a join merges m on m.l = a.tok and m.r = a.following
+      ) where rank = best
     )
-  )
-  where not eaten
-), last as (select word, max(step) as step from state group by word)
-select word, list(tok order by pos) as ids from state join last using (word, step) group by word
-"""
-
-STEP = """
-create or replace temp table state as
-with paired as (
-  select s.*, m.rank, m.made, min(m.rank) over (partition by word) as best
-  from (select *, lead(tok) over w as following, row_number() over w as nth from state window w as (partition by word order by pos)) s
-  left join merges m on m.l = s.tok and m.r = s.following
-), runs as (
-  select *, rank is not null and rank = best as fits, nth - row_number() over (partition by word, rank is not null and rank = best order by pos) as run from paired
-), hits as (
-  select *, fits and row_number() over (partition by word, fits, run order by pos) % 2 = 1 as hit from runs
+  ) where hit
 )
-select word, pos, case when hit then made else tok end as tok
-from (select *, lag(hit, 1, false) over (partition by word order by pos) as eaten from hits)
-where not eaten
+select word, list(tok order by pos) as ids from state where tok is not null group by word
 """
 
+DECODE = "select item, string_agg(hex(bytes), '' order by pos) as text from given join texts using (id) group by item"
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write bytes as: printable ones stand for themselves, others follow from 256."""
@@ -115,12 +100,14 @@ class Encoder:
     """The merges of one tokenizer in a DuckDB of its own, and the words encoded so far."""
 
     def __init__(self, name: str, folder: str):
-        self.byte_ids, merges, self.texts = read_merges(name, folder)
+        self.byte_ids, merges, texts = read_merges(name, folder)
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # its queries are bounded, nothing is spilled
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})  # a query holds its words' tokens only, nothing is spilled
         rows = pa.table({k: pa.array(v, pa.int32()) for k, v in merges.items()})
         self.db.register("merge_rows", rows)
+        self.db.register("text_rows", pa.table({"id": pa.array(list(texts), pa.int32()), "bytes": pa.array(list(texts.values()), pa.binary())}))
+        self.db.execute("create table texts as from text_rows")
         self.db.execute("create table merges as select l, r, min(rank) as rank, arg_min(made, rank) as made from merge_rows group by l, r")
 
     def _seed(self, words: list[bytes]) -> None:
@@ -134,31 +121,20 @@ class Encoder:
         for k, ids in self.db.execute(CONTRACT).fetchall():
             self.known[words[k]] = ids
 
-    def _contract_long(self, word: str) -> None:
-        self._seed([word.encode("utf-8", "replace")])
-        self.db.execute("create or replace temp table state as select word, pos, tok from seed")
-        size = None
-        while size != (size := self.db.execute("select count(*) from state").fetchall()[0][0]):
-            self.db.execute(STEP)
-        self.known[word] = [t for (t,) in self.db.execute("select tok from state order by pos").fetchall()]
-
     def learn(self, words: set[str]) -> None:
-        """Encode the words not seen before, in queries of bounded size."""
+        """Encode the words not seen before, in queries of bounded size (a longer word has one of its own)."""
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > KEPT_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
         part: list[str] = []
-        rows = steps = 0
+        rows = 0
         for w in sorted(fresh, key=len):
             n = len(w.encode("utf-8", "replace"))
-            if n > LONG_WORD:
-                self._contract_long(w)
-                continue
-            if part and (rows + n > QUERY_ROWS or steps + n * n > QUERY_STEPS):
+            if part and rows + n > QUERY_ROWS:
                 self._contract(part)
-                part, rows, steps = [], 0, 0
+                part, rows = [], 0
             part.append(w)
-            rows, steps = rows + n, steps + n * n
+            rows += n
         if part:
             self._contract(part)
 
@@ -185,7 +161,16 @@ class Encoder:
             yield ids
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.texts[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, lists: Sequence[Sequence[int]]) -> list[str]:
+        """The texts of lists of ids, put together by an ordered aggregation over (list, position, id) rows."""
+        sizes = [len(x) for x in lists]
+        self.db.register("given", pa.table({"item": pa.array(np.repeat(np.arange(len(lists)), sizes)), "pos": pa.array(np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])), "id": pa.array([i for x in lists for i in x], pa.int32())}))
+        out = [""] * len(lists)
+        for k, text in self.db.execute(DECODE).fetchall():
+            out[k] = bytes.fromhex(text).decode("utf-8", "replace")
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -226,8 +211,26 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def decode(df: DataFrame, doc_id: str, ids: str, tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, text) of every list of ids; null and empty lists give an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, folder)
+        for batch in batches:
+            texts = enc.decode_all([x or [] for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return df.select(F.col(doc_id).cast("bigint"), F.col(ids)).mapInArrow(run, "doc_id bigint, text string")
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as its ids give it back."""
+    return decode(p7_ids(spark, sf_dir), "doc_id", "ids")
+
+
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), "text", keep=("doc_id",))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_counts": p7_counts}
+QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p7_counts": p7_counts}
+SQL = {"p7_round_trip": "select doc_id, coalesce(text, '') as text from documents"}

@@ -29,6 +29,14 @@ def test_same_ids_and_round_trip(text, reference):
     assert enc.decode(ids) == text
 
 
+def test_very_long_words(reference):
+    enc = p7.encoder(p7.TOKENIZER, p7.TOKENIZERS)
+    for word in ("".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12_000)), "a" * 30_000, "ab" * 9_001):
+        (ids,) = enc.encode([word])
+        assert ids == reference(word)
+        assert enc.decode(ids) == word
+
+
 def test_rank_files(spark):
     import base64
 
@@ -46,4 +54,5 @@ def test_table(spark):
     got = sorted((r.doc_id, list(r.ids)) for r in p7.encode(df, "doc_id", "text").collect())
     assert got == [(1, []), (2, []), (3, [64, 275]), (3, [64, 275])]
     assert p7.encode(df.limit(0), "doc_id", "text").count() == 0
+    assert sorted((r.doc_id, r.text) for r in p7.decode(p7.encode(df, "doc_id", "text"), "doc_id", "ids").collect()) == [(1, ""), (2, ""), (3, "a b"), (3, "a b")]
     assert sorted(map(tuple, p7.count_tokens(df, "text", keep=("doc_id",)).collect())) == [(1, 0), (2, 0), (3, 2), (3, 2)]
