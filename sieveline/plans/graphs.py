@@ -175,6 +175,16 @@ def s8_ingest(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(graphs.edges(parsed).groupBy("scan_id").agg(F.count("*").alias("n_edges")), "scan_id")
 
 
+def g6_ast(spark: SparkSession, d: str) -> DataFrame:
+    """Graph documents read and handed on as their syntax view."""
+    n, e = tables(spark, d)
+    docs = n.select(F.col("scan_id").cast("string").alias("scan_id"), F.struct("id", "type", "name").alias("x")).groupBy("scan_id").agg(F.collect_list("x").alias("nodes"))
+    ends = e.select(F.col("scan_id").cast("string").alias("scan_id"), F.struct("source", "target", "type").alias("x")).groupBy("scan_id").agg(F.collect_list("x").alias("edges"))
+    parsed = graphs.parse(docs.join(ends, "scan_id").select(F.to_json(F.struct("*")).alias("payload")))
+    n, e = graph.view(graphs.nodes(parsed), graphs.edges(parsed), "ast")
+    return n.select("scan_id", "type", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b")).unionByName(e.select("scan_id", "type", F.col("source").alias("a"), F.col("target").alias("b")))
+
+
 def proj04_graph_language(spark: SparkSession, d: str) -> DataFrame:
     n = tables(spark, d)[0]
     sets = n.groupBy("scan_id").agg(F.collect_set("type").alias("types"), F.collect_set("name").alias("names"), F.collect_set("dataType").alias("data_types"))
@@ -325,7 +335,7 @@ def k8_dot(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "g1_cfg_view": _view("cfg"), "g2_cfg_wide_view": _view("cfg_wide"), "g4_dfg_view": _view("dfg"), "g5_ast_view": _view("ast"),
 } | {f.__name__: f for f in (
-    g3_closed_edges, g3_full_cfg, g7_sequential, g8_branches, g10_calls, g11_catches, a8_statistics, j15_orphans, x13_last_nodes, x13_names, proj09_call_flags, proj10_sql_literals, s8_ingest, proj04_graph_language, g12_adjacency, g13_data_flow, g14_components, g15_reached_sinks,
+    g3_closed_edges, g3_full_cfg, g7_sequential, g8_branches, g10_calls, g11_catches, a8_statistics, j15_orphans, x13_last_nodes, x13_names, proj09_call_flags, proj10_sql_literals, s8_ingest, g6_ast, proj04_graph_language, g12_adjacency, g13_data_flow, g14_components, g15_reached_sinks,
     g16_shortest, g16_paths, j10_mentions, j11_places, j12_parameters, x12_one_graph, x14_cleaning, k7_documents, d14_rule_taint, a9_plain_statistics, a17_metadata, g17_taint, f13_names, f14_weights, g18_flow, g19_weighted_reach, x15_weighted_taint, g22_line_cfg, g22_line_cfg_edges, proj18_line_types, e3_definitions, e4_uses, g23_line_dfg, a15_variables, j8_declarations, j13_sensitive_uses, j14_unreachable, s17_pseudo_ast,
     g24_ast_flow, f10_semantics, x7_composition, k8_dot,
 )}
@@ -450,6 +460,7 @@ SQL = {
     "g3_closed_edges": _G.rstrip() + f", {_CLOSED} select scan_id, pos, source, target, type from ke",
     "g3_full_cfg": _G.rstrip() + f""", {_CLOSED}, {_KM}, alle as (select scan_id, source, target, type from ke union all select *, 'SEQUENTIAL_FLOW' from ({_SEQ.format('ke', 'km')}) union all {_BRANCH.format('kn')} union all {_CALL.format('kn')} union all {_CATCH.format('kn', 'km')})
       select scan_id, source, target, type from alle""",
+    "g6_ast": _G + f"select scan_id::varchar as scan_id, type, id as a, null::bigint as b from n where type in {_list(graph.VIEWS['ast'][0])} union all select scan_id::varchar, type, source, target from e where type in {_list(graph.VIEWS['ast'][1])}",
     "g7_sequential": _G + _SEQ.format("e", "m"),
     "g8_branches": _G + _BRANCH.format("n"),
     "g10_calls": _G + f"select scan_id, source, target from ({_CALL.format('n')})",

@@ -130,6 +130,17 @@ def s7_default_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.normalized(rules.defaults(spark)).select("rule_id", "language", "rule_type", "pattern", "severity", "confidence")
 
 
+def s7_web_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue taken for a web one: patterns with flags, severities in small letters."""
+    rows = load(spark, d, "scan_rules").select("rule_id", F.lit("n").alias("name"), F.col("message").alias("description"), "category", F.lower("severity").alias("severity"), "pattern", F.when(F.length("rule_id") % 2 == 0, "gi").otherwise("g").alias("flags"), F.col("remediation").alias("recommendation"), "enabled")
+    return rules.from_web(rows, ["java", "python"]).select("rule_id", "language", "pattern", "severity", "message", "owasp", "enabled")
+
+
+def x2_rule_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule as a one-rule document."""
+    return rules.as_rule_files(load(spark, d, "scan_rules")).select("rule_id", F.md5("document").alias("document"))
+
+
 def s10_uploads(spark: SparkSession, d: str) -> DataFrame:
     return files.uploads(load(spark, d, "source_files")).select("file_id", "filename", "size")
 
@@ -293,7 +304,7 @@ def e2_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s1_discover": _discover("full"), "s2_discover_hidden": _discover("hidden"), "s3_discover_plain": _discover("plain"), "s4_read_text": s4_read_text, "s4_lines": s4_lines, "s5_rule_files": s5_rule_files, "proj08_patterns": proj08_patterns, "s6_rule_quarantine": s6_rule_quarantine,
-    "s7_default_rules": s7_default_rules, "s10_uploads": s10_uploads, "s11_first_uploads": s11_first_uploads, "s12_external_results": s12_external_results, "proj14_metadata": proj14_metadata, "proj23_shapes": proj23_shapes, "proj01_language": proj01_language, "proj03_content_language": proj03_content_language,
+    "s7_default_rules": s7_default_rules, "s7_web_rules": s7_web_rules, "x2_rule_files": x2_rule_files, "s10_uploads": s10_uploads, "s11_first_uploads": s11_first_uploads, "s12_external_results": s12_external_results, "proj14_metadata": proj14_metadata, "proj23_shapes": proj23_shapes, "proj01_language": proj01_language, "proj03_content_language": proj03_content_language,
     "proj06_rules": proj06_rules, "filter03_rules": filter03_rules, "u1_rule_set": u1_rule_set, "proj11_places": proj11_places, "proj13_severities": proj13_severities, "proj17_confidence": proj17_confidence, "proj20_formats": proj20_formats,
     "proj22_categories": proj22_categories, "j1_matches": j1_matches, "j1_byte_columns": j1_byte_columns, "j1_ignoring_case": j1_ignoring_case, "j1_look_around": j1_look_around, "j1_quantified": j1_quantified, "j1_every_language": j1_every_language, "x4_scan": x4_scan, "x4_report": x4_report, "x4_default_scan": x4_default_scan, "e2_occurrences": e2_occurrences,
 }
@@ -335,6 +346,8 @@ SQL = {
     "s6_rule_quarantine": """select rule_id, case when pattern is null or pattern = '' then 'no pattern' when regexp_matches(pattern, '\\(\\?(=|!|<=|<!|>)|\\\\[12]') then 'look-around or back-reference' else 'broken' end as problem
       from scan_rules where pattern is null or pattern = '' or regexp_matches(pattern, '\\(\\?(=|!|<=|<!|>)|\\\\[12]') or try(regexp_matches('', pattern)) is null""",
     "s7_default_rules": f"select rule_id, language, rule_type, pattern, severity, 'HIGH' as confidence from {_DEFAULTS}",
+    "s7_web_rules": "select rule_id, l as language, case when length(rule_id) % 2 = 0 then '(?i)' || pattern else pattern end as pattern, upper(severity) as severity, coalesce(message, 'n') as message, string_split(category, ' - ')[1] as owasp, coalesce(enabled, true) as enabled from scan_rules, (select unnest(['java', 'python']) as l)",
+    "x2_rule_files": """select rule_id, md5('{"rules":[{' || concat_ws(',', '"id":' || to_json(rule_id), '"languages":[' || coalesce(to_json(language), 'null') || ']', '"message":' || to_json(message), '"severity":' || to_json(upper(severity)), '"pattern":' || to_json(pattern)) || '}]}') as document from scan_rules where coalesce(pattern, '') <> ''""",
     "s10_uploads": f"select file_id, filename, size from source_files where {EXT_SQL.format('filename')} in ({', '.join(sql_text(e) for e in files.UPLOAD_EXTENSIONS)}) and size <= {files.UPLOAD_BYTES}",
     "s11_first_uploads": "select job_id, filename, file_id, size from source_files where filename is not null qualify row_number() over (partition by job_id, filename order by created_at, file_id) = 1",
     "s12_external_results": f"""select finding_id, 0::bigint as pos, rule_id, {_ABS.format('p')} as path, {_EXTERNAL.format("coalesce(severity, '')")} as severity, concat_ws(':', {_BASE.format(_ABS.format('p'))}, line_number, column_number) as location,

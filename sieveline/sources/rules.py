@@ -101,6 +101,27 @@ def defaults(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
+WEB_RULE = "rule_id string, name string, description string, category string, severity string, pattern string, flags string, recommendation string, enabled boolean"
+
+
+def from_web(rows: DataFrame, languages: Iterable[str] | None = None) -> DataFrame:
+    """Rules of a web catalogue (WEB_RULE rows) as rules of the engine: flags become part of the pattern, severities upper
+    case, the category's key the OWASP one. They name no language: they are for find_matches(per_language=False), or one row
+    for each of `languages`."""
+    flags = F.array_join(F.array_compact(F.array(*(F.when(F.contains("flags", F.lit(f)), F.lit(f)) for f in "ims"))), "")
+    tongue = F.explode(F.array(*map(F.lit, languages))) if languages else F.lit(None).cast("string")
+    return rows.select(
+        "rule_id", tongue.alias("language"), "category", F.lit("regex").alias("rule_type"), F.when(F.coalesce(flags, F.lit("")) == "", F.col("pattern")).otherwise(F.concat(F.lit("(?"), flags, F.lit(")"), "pattern")).alias("pattern"), F.upper("severity").alias("severity"),
+        F.coalesce("description", "name").alias("message"), F.col("recommendation").alias("remediation"), F.array().cast("array<string>").alias("cwe"), F.element_at(F.split("category", " - "), 1).alias("owasp"), F.lit("HIGH").alias("confidence"), F.array().cast("array<string>").alias("tags"), F.coalesce("enabled", F.lit(True)).alias("enabled"),
+    )
+
+
+def as_rule_files(rules: DataFrame) -> DataFrame:
+    """(rule_id, document): each rule as a file of its own for an external matcher (X2); one without a pattern has none."""
+    rule = F.struct(F.col("rule_id").alias("id"), F.array("language").alias("languages"), "message", F.upper("severity").alias("severity"), "pattern")
+    return rules.filter(F.coalesce("pattern", F.lit("")) != "").select("rule_id", F.to_json(F.struct(F.array(rule).alias("rules"))).alias("document"))
+
+
 def normalized(rules: DataFrame) -> DataFrame:
     """Severity in the vocabulary, confidence HIGH and no tags where missing, names in lower case (projection 6)."""
     return rules.withColumns({
