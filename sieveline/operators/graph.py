@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.session import cut, discard, hot_split_join, scratch_path
+from sieveline.session import cut, discard, hot_split_join, remove, scratch_path
 from sieveline.sources.graphs import last_by_id
 
 # The node and edge types of each view.
@@ -168,26 +168,39 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     return met.unionByName(mine.select("scan_id", "source", F.col("source").alias("id"))).distinct()
 
 
+#: Rounds kept in folders of their own before they are put together, so that listing them stays cheap.
+ROUNDS_APART = 12
+
+
+def _kept(df: DataFrame, label: str, folders: list[str]) -> tuple[DataFrame, int]:
+    """A round written to a folder of its own, with the number of its rows, counted while they are written."""
+    spark, seen = df.sparkSession, Observation()
+    path = scratch_path(spark, label)
+    df.observe(seen, F.count("*").alias("n")).write.parquet(path)
+    if len(folders) >= ROUNDS_APART:
+        whole = scratch_path(spark, label)
+        spark.read.schema(df.schema).parquet(*folders).write.parquet(whole)
+        for old in folders:
+            remove(spark, old)
+        folders[:] = [whole]
+    folders.append(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def spread(links: DataFrame, starts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(scan_id, source, at) of what each start (scan_id, source, at) reaches over directed links, itself included.
 
-    A frontier and an anti-join with everything seen; it ends when nothing is new. Every round is a folder of its own and
-    all are read as one table, so plans don't grow with the rounds. allowed: (scan_id, at) of nodes that may be entered.
+    A frontier and an anti-join with everything seen; it ends when nothing is new. Rounds are folders, put together now and
+    then and read as one table, so plans don't grow with the rounds. allowed: (scan_id, at) of nodes that may be entered.
     """
     spark, folders = links.sparkSession, []
     shape = starts.select("scan_id", "source", "at").schema
-
-    def keep(df: DataFrame) -> DataFrame:
-        folders.append(scratch_path(spark, "reach"))
-        df.write.parquet(folders[-1])
-        return spark.read.schema(shape).parquet(folders[-1])
-
-    front = keep(starts.select("scan_id", "source", "at").distinct())
-    while not front.isEmpty():
+    front, n = _kept(starts.select("scan_id", "source", "at").distinct(), "reach", folders)
+    while n:
         nxt = front.join(links.withColumnRenamed("a", "at"), ["scan_id", "at"]).select("scan_id", "source", F.col("b").alias("at")).distinct()
         if allowed is not None:
             nxt = nxt.join(allowed, ["scan_id", "at"], "left_semi")
-        front = keep(nxt.join(spark.read.schema(shape).parquet(*folders), ["scan_id", "source", "at"], "left_anti"))
+        front, n = _kept(nxt.join(spark.read.schema(shape).parquet(*folders), ["scan_id", "source", "at"], "left_anti"), "reach", folders)
     return spark.read.schema(shape).parquet(*folders)
 
 
@@ -196,7 +209,7 @@ def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit:
 
     The links are first cut down to the nodes that a goal can be reached from, found by walking backwards from the goals.
     A frontier then keeps one path per (source, node); nodes seen before are left out by an anti-join, so it ends by itself.
-    Each round's frontier is a folder of its own and all are read as one table, so plans don't grow with the rounds.
+    Rounds are folders that are read as one table, so plans don't grow with their number.
     limit: paths of at most so many steps; None for all.
     """
     spark, folders = links.sparkSession, []
@@ -205,18 +218,14 @@ def shortest_paths(links: DataFrame, starts: DataFrame, goals: DataFrame, limit:
     useful = back.select("scan_id", F.col("at").alias("b"))
     links = cut(links.join(useful, ["scan_id", "b"], "left_semi").select("scan_id", "a", "b"), "useful-links")
 
-    def keep(df: DataFrame) -> DataFrame:
-        folders.append(scratch_path(spark, "frontier"))
-        df.write.parquet(folders[-1])
-        return spark.read.schema(df.schema).parquet(folders[-1])
-
-    frontier = keep(starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")).distinct())
-    shape = frontier.schema
-    while (limit is None or len(folders) <= limit) and not frontier.isEmpty():
+    frontier, n = _kept(starts.select("scan_id", F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")).distinct(), "frontier", folders)
+    shape, steps = frontier.schema, 0
+    while (limit is None or steps < limit) and n:
+        steps += 1
         nxt = frontier.join(links, (frontier.scan_id == links.scan_id) & (frontier["at"] == links.a)).select(frontier.scan_id, "source", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
         best = nxt.groupBy("scan_id", "source", "at").agg(F.min("path").alias("path"))
         known = spark.read.schema(shape).parquet(*folders).select("scan_id", "source", "at")
-        frontier = keep(best.join(known, ["scan_id", "source", "at"], "left_anti"))
+        frontier, n = _kept(best.join(known, ["scan_id", "source", "at"], "left_anti"), "frontier", folders)
     paths = spark.read.schema(shape).parquet(*folders)
     return paths.join(ends, ["scan_id", "at"], "left_semi").filter("source <> at").select("scan_id", "source", F.col("at").alias("sink"), "path")
 

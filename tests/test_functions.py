@@ -150,3 +150,23 @@ def test_table_of_a_database(spark):
     spark.range(100).selectExpr("id", "'x' as status").write.format("jdbc").option("url", url).option("dbtable", "scans").save()
     got = config.jdbc_table(spark, url, "scans", "ID", (0, 100), 4)
     assert got.count() == 100 and got.rdd.getNumPartitions() == 4
+
+
+def test_web_rules(spark):
+    rows = spark.createDataFrame([("r", "n", None, "A02:2021 - Crypto", "high", "md5\\(", "gi", "x", None), ("q", "n", "d", None, "low", "a", None, None, False)], rules.WEB_RULE)
+    got = {r.rule_id: r for r in rules.from_web(rows).collect()}
+    assert (got["r"].pattern, got["r"].severity, got["r"].owasp, got["r"].message, got["r"].enabled) == ("(?i)md5\\(", "HIGH", "A02:2021", "n", True)
+    assert (got["q"].pattern, got["q"].enabled, got["q"].language) == ("a", False, None)
+    assert rules.from_web(rows, ["java", "python"]).count() == 4
+
+
+def test_fresh_ids(spark):
+    ids = spark.range(3).select(text.fresh_id().alias("i")).select(text.valid_id(F.col("i")).alias("ok"), "i").collect()
+    assert all(r.ok for r in ids) and len({r.i for r in ids}) == 3
+
+
+def test_rule_files_that_are_broken(spark):
+    bodies = [("a/x.yaml", "java", b"rules:\n- {id: r, pattern: {pattern: p}, severity: 7, metadata: {cwe: [CWE-1]}}\n- 5\n- {pattern: x}"), ("a/y.yaml", "java", b"rules: ["), ("a/z.yaml", "java", b"a: 1"), ("a/w.yaml", "java", b"\xff\xfe")]
+    out = rules.parse_files(spark.createDataFrame(bodies, "path string, language string, content binary")).collect()
+    assert [(r.rule_id, r.pattern, r.severity, r.cwe) for r in out if r.reason is None] == [("r", "p", "MEDIUM", ["CWE-1"])]
+    assert sorted(r.source_file for r in out if r.reason) == ["a/w.yaml", "a/y.yaml", "a/z.yaml"]
