@@ -100,7 +100,8 @@ def hot_split_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], wei
     """Inner join of many facts with a lookup unique on keys, whose column `weight` counts the facts of each key.
 
     The `hot` heaviest keys (at most that many rows, so their broadcast is bounded whatever the data) are joined
-    without moving their facts; what is left has no key above 1/hot of the facts and is joined by shuffle.
+    without moving their facts; what is left has no key above 1/hot of the facts and is joined by shuffle, where adaptive
+    execution splits what is still too large for a task. The lookup is read three times: cut() one that is costly to compute.
     Rows with a null key match nothing.
     """
     keys = list(keys)
