@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import language as lang
-from sieveline.operators import flow, graph, history, taint
-from sieveline.plans.scan import LINES_SQL, TRIM_SQL, scanned_lines
+from sieveline.operators import flow, graph, history, match, report, taint
+from sieveline.plans.scan import LINES_SQL, RULES_SQL, TRIM_SQL, scanned_lines, usable_rules
 from sieveline.session import cut, load, scratch_path
 from sieveline.sources import graphs
 
@@ -186,9 +186,11 @@ def g6_ast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proj04_graph_language(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of graphs: some say theirs, the others import what a language has, or nothing."""
     n = tables(spark, d)[0]
     sets = n.groupBy("scan_id").agg(F.collect_set("type").alias("types"), F.collect_set("name").alias("names"), F.collect_set("dataType").alias("data_types"))
-    out = lang.by_graph(sets.withColumn("imports", F.array(F.lit("java.util.List"))).withColumn("language", F.lit(None).cast("string")))
+    imports = F.when(F.col("scan_id") % 3 == 0, F.array(F.lit("java.util.List"))).when(F.col("scan_id") % 3 == 1, F.array(F.lit("import os"), F.lit("stdio.h"))).otherwise(F.array().cast("array<string>"))
+    out = lang.by_graph(sets.withColumn("imports", imports).withColumn("language", F.when(F.col("scan_id") % 5 == 0, F.lit("Cpp"))))
     return out.select("scan_id", "language", F.col("score").cast("bigint").alias("score"))
 
 
@@ -320,10 +322,16 @@ def f10_semantics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x7_composition(spark: SparkSession, d: str) -> DataFrame:
-    """Semantic, data-flow and control-flow matches of all files together, counted per rule."""
+    """Pattern, semantic, data-flow and control-flow matches of all files together, counted per rule, and the files' metrics."""
     lines = scanned_lines(spark, d)
+    matches = match.find_matches(lines, usable_rules(spark, d), match_on="trimmed").select("file_id", "line_no", "rule_id")
     parts = [f10_semantics(spark, d).select("file_id", "line_no", "rule_id"), j13_sensitive_uses(spark, d).select("file_id", "line_no", F.lit("sensitive-data-exposure").alias("rule_id")), flow.unreachable(flow.cfg_nodes(lines), flow.cfg_edges(lines)).select("file_id", "line_no", F.lit("unreachable-code").alias("rule_id"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
+    for p in parts:
+        matches = matches.unionByName(p)
+    found = matches.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
+    sizes = report.line_metrics(lines, "file_id").agg(F.sum("code_lines").alias("code"), F.sum("complexity").alias("complexity"), F.count("*").alias("files"))
+    each = F.explode(F.array(F.struct(F.lit("(code lines)").alias("rule_id"), F.col("code").alias("n")), F.struct(F.lit("(complexity)").alias("rule_id"), F.col("complexity").alias("n"))))
+    return found.unionByName(sizes.select(each.alias("m"), "files").select("m.rule_id", "m.n", "files"))
 
 
 def k8_dot(spark: SparkSession, d: str) -> DataFrame:
@@ -454,7 +462,7 @@ heat(scan_id, source, id, cleaned, checked, c) using key (scan_id, source, id, c
       h.c * case when call then factor else factor * case when h.checked or hop.checks then least(1.0::double, case when h.cleaned or hop.cleans then {taint.SANITIZED}::double else 1.0::double end + {taint.VALIDATED}::double) when h.cleaned or hop.cleans then {taint.SANITIZED}::double else 1.0::double end end as v
     from heat h join hop on hop.scan_id = h.scan_id and hop.a = h.id) z
   where z.v >= 0.6 and not exists (select 1 from recurring.heat r where r.scan_id = z.scan_id and r.source = z.source and r.id = z.b and r.cleaned = z.cl and r.checked = z.ch and r.c >= z.v - 1e-12) group by all)"""
-_GRAPH_SCORES = {k: f"(case when list_has_any(types, {_array(lang.NODE_TYPES[k])}) then 3 else 0 end + case when {' or '.join(f'''contains('java.util.List', '{i}')''' for i in lang.IMPORTS[k])} then 2 else 0 end + case when list_has_any(names, {_array(lang.KEYWORDS[k])}) then 2 else 0 end + case when list_has_any(data_types, {_array(lang.DATA_TYPES[k])}) then 1 else 0 end)" for k in lang.KEYWORDS}
+_GRAPH_SCORES = {k: f"(case when list_has_any(types, {_array(lang.NODE_TYPES[k])}) then 3 else 0 end + case when {' or '.join(f'''len(list_filter(imports, lambda x: contains(x, '{i}'))) > 0''' for i in lang.IMPORTS[k])} then 2 else 0 end + case when list_has_any(names, {_array(lang.KEYWORDS[k])}) then 2 else 0 end + case when list_has_any(data_types, {_array(lang.DATA_TYPES[k])}) then 1 else 0 end)" for k in lang.KEYWORDS}
 SQL = {
     "g1_cfg_view": _view_sql("cfg"), "g2_cfg_wide_view": _view_sql("cfg_wide"), "g4_dfg_view": _view_sql("dfg"), "g5_ast_view": _view_sql("ast"),
     "g3_closed_edges": _G.rstrip() + f", {_CLOSED} select scan_id, pos, source, target, type from ke",
@@ -494,7 +502,7 @@ SQL = {
     "proj09_call_flags": _G + f"select name, count(*) as n, count(*) filter (name in {_list(graphs.TAINT_SOURCES)}) as taint_source, count(*) filter (name in {_list(graphs.TAINT_SINKS)}) as taint_sink, count(*) filter (name in {_list(graphs.DANGEROUS)}) as dangerous, count(*) filter (name in {_list(graphs.MEMORY)}) as memory_operation, count(*) filter (name in {_list(graphs.DANGEROUS)}) as flagged from n where type = 'METHOD_CALL' group by 1",
     "proj10_sql_literals": "select coalesce(regexp_matches(code_snippet, 'SELECT|INSERT|UPDATE|DELETE'), false) as holds_sql, count(*) as n from findings group by 1",
     "s8_ingest": _G + "select scan_id::varchar as scan_id, n_nodes, ids, arguments, n_edges from (select scan_id, count(*) as n_nodes, sum(id)::bigint as ids, sum(arguments)::bigint as arguments from n group by 1) join (select scan_id, count(*) as n_edges from e group by 1) using (scan_id)",
-    "proj04_graph_language": _G.rstrip() + f", s as (select scan_id, list(distinct type) as types, list(distinct name) as names, list(distinct dataType) as data_types from n group by 1), p as (select scan_id, {', '.join(f'{v} as s_{k}' for k, v in _GRAPH_SCORES.items())} from s), b as (select *, greatest({', '.join('s_' + k for k in _GRAPH_SCORES)}) as score from p) select scan_id, case score when 0 then 'unknown' {' '.join(f'when s_{k} then {chr(39)}{k}{chr(39)}' for k in _GRAPH_SCORES)} end as language, score::bigint as score from b",
+    "proj04_graph_language": _G.rstrip() + f", s as (select scan_id, list(distinct type) as types, list(distinct name) as names, list(distinct dataType) as data_types, case scan_id % 3 when 0 then ['java.util.List'] when 1 then ['import os', 'stdio.h'] else [] end as imports from n group by 1), p as (select scan_id, {', '.join(f'{v} as s_{k}' for k, v in _GRAPH_SCORES.items())} from s), b as (select *, greatest({', '.join('s_' + k for k in _GRAPH_SCORES)}) as score from p) select scan_id, case when scan_id % 5 = 0 then 'cpp' when score = 0 then 'unknown' {' '.join(f'when score = s_{k} then {chr(39)}{k}{chr(39)}' for k in _GRAPH_SCORES)} end as language, score::bigint as score from b",
     "g12_adjacency": _G + "select * from adj",
     "g13_data_flow": _G + "select * from df",
     "g14_components": _G.rstrip() + ", walk(scan_id, id, other) as (select scan_id, a, a from df union select w.scan_id, w.id, df.b from walk w join df on df.scan_id = w.scan_id and df.a = w.other) select scan_id, id, min(other) as component from walk group by 1, 2",
@@ -538,7 +546,10 @@ SQL = {
         union all select * from (select file_id, node, lead(node) over (partition by file_id order by node) as nx, 'sequential' from c where type = 'ClassDeclaration') where nx is not null)
       select file_id, type, source, target from l""",
     "f10_semantics": _AST + "select file_id, line_no, r.rule_id, r.severity, r.confidence from checks",
-    "x7_composition": _AST + "select rule_id, count(*) as n, count(distinct file_id) as files from (select file_id, r.rule_id from checks union all select file_id, 'sensitive-data-exposure' from sens) group by 1",
+    "x7_composition": _AST.rstrip() + f""", {RULES_SQL}, pat as (select file_id, rule_id, unnest(ms) as m from (select l.file_id, r.rule_id, regexp_extract_all({TRIM_SQL.format('line')}, pattern) as ms from lines l join usable r on l.language = r.language where regexp_matches({TRIM_SQL.format('line')}, pattern))),
+      met as (select file_id, count(*) filter (regexp_matches(line, '\\S')) as code, 1 + sum({' + '.join(f"contains(line, '{w}')::int" for w in report.COMPLEXITY)}) as complexity from lines group by 1)
+      select rule_id, count(*) as n, count(distinct file_id) as files from (select file_id, r.rule_id from checks union all select file_id, 'sensitive-data-exposure' from sens union all select file_id, rule_id from pat) group by 1
+      union all select '(code lines)', sum(code)::bigint, count(*) from met union all select '(complexity)', sum(complexity)::bigint, count(*) from met""",
     "k8_dot": _G.rstrip() + f""", ke as (select * from e where exists (select 1 from n where n.scan_id = e.scan_id and n.id = e.source) and exists (select 1 from n where n.scan_id = e.scan_id and n.id = e.target)),
       t as (select scan_id, 0 as part, pos as k, '  "' || id || '" [label="' || name || '"];' as t from n union all select scan_id, 1, pos, '  "' || source || '" -> "' || target || '";' from ke)
       select scan_id, md5('digraph G {{' || chr(10) || string_agg(t, chr(10) order by part, k, t) || chr(10) || '}}') as dot from t group by 1""".replace("{{", "{").replace("}}", "}"),
