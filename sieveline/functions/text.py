@@ -43,9 +43,13 @@ def fingerprint(rule_id: Column, place: Column) -> Column:
 
 
 def absolute(path: Column, folder: str) -> Column:
-    """A relative path below a folder, without '.' steps and doubled separators (projection 16)."""
+    """A relative path below a folder, without '.' and '..' steps and doubled separators (projection 16)."""
     joined = F.when(path.rlike(r"^(?:/|[A-Za-z]:)"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
-    return F.regexp_replace(F.regexp_replace(joined, r"/(?:\./)+", "/"), r"/{2,}", "/")
+    plain = F.regexp_replace(F.regexp_replace(joined, r"/(?:\./)+", "/"), r"/{2,}", "/")
+    # Steps up take away what stands before them; above the root there is nothing to take.
+    step = lambda way, x: F.when(x != "..", F.array_append(way, x)).otherwise(F.slice(way, 1, F.greatest(F.size(way) - 1, F.lit(1))))
+    climbed = F.array_join(F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(plain.rlike(r"/\.\.(?:/|$)"), F.when(climbed == "", F.lit("/")).otherwise(climbed)).otherwise(plain)
 
 
 def label(text: Column, width: int = 30) -> Column:

@@ -22,6 +22,17 @@ SENSITIVE = ["password", "pwd", "secret", "key", "token", "api", "credential"]
 EXPOSING = ["console.log", "print", "System.out", "log.info", "logger.info"]
 AUTH_WORDS = ["authenticate", "auth", "token", "login", "session", "verify"]
 CHECK_WORDS = ["validate", "check", "verify", "security", "sanitize"]
+# What the checks on pseudo-AST rows report: rule, severity, confidence.
+SEMANTIC = {
+    "missing-auth-check": ("high", 0.7),
+    "xss-reflection": ("high", 0.8),
+    "insecure-cookie": ("medium", 0.9),
+    "sql-injection-python": ("critical", 0.9),
+    "insecure-deserialization-python": ("high", 0.95),
+    "weak-random-python": ("medium", 0.6),
+    "insecure-serialization-java": ("high", 0.8),
+    "sql-injection-java": ("critical", 0.9),
+}
 ENTRY, EXIT = 0, -1
 
 
@@ -173,15 +184,16 @@ def semantic_matches(ast: DataFrame) -> DataFrame:
     has = lambda *w: any_of(F.col("code"), list(w))
     low = F.lower("code")
     is_ = lambda t: F.col("type") == t
-    checks = [
-        (is_("CallExpression") & has("app.") & has(".get(", ".post(") & ~any_of(low, AUTH_WORDS), "missing-auth-check", "high", 0.7),
-        (is_("CallExpression") & has("innerHTML", "document.write"), "xss-reflection", "high", 0.8),
-        (is_("CallExpression") & has("cookie") & ~(has("secure") & has("httpOnly")), "insecure-cookie", "medium", 0.9),
-        (is_("Expr") & has("cursor.execute") & has("%s"), "sql-injection-python", "critical", 0.9),
-        (is_("Expr") & has("pickle.load"), "insecure-deserialization-python", "high", 0.95),
-        (is_("Import") & has("random"), "weak-random-python", "medium", 0.6),
-        (is_("MethodDeclaration") & (F.col("name") == "readObject") & ~any_of(low, CHECK_WORDS), "insecure-serialization-java", "high", 0.8),
-        (is_("MethodDeclaration") & has("Statement") & has("executeQuery") & ~has("PreparedStatement"), "sql-injection-java", "critical", 0.9),
-    ]
-    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(n).cast("double").alias("confidence"))) for c, r, s, n in checks)))
+    checks = {
+        "missing-auth-check": is_("CallExpression") & has("app.") & has(".get(", ".post(") & ~any_of(low, AUTH_WORDS),
+        "xss-reflection": is_("CallExpression") & has("innerHTML", "document.write"),
+        "insecure-cookie": is_("CallExpression") & has("cookie") & ~(has("secure") & has("httpOnly")),
+        "sql-injection-python": is_("Expr") & has("cursor.execute") & has("%s"),
+        "insecure-deserialization-python": is_("Expr") & has("pickle.load"),
+        "weak-random-python": is_("Import") & has("random"),
+        "insecure-serialization-java": is_("MethodDeclaration") & (F.col("name") == "readObject") & ~any_of(low, CHECK_WORDS),
+        "sql-injection-java": is_("MethodDeclaration") & has("Statement") & has("executeQuery") & ~has("PreparedStatement"),
+    }
+    said = lambda rule: F.struct(F.lit(rule).alias("rule_id"), F.lit(SEMANTIC[rule][0]).alias("severity"), F.lit(SEMANTIC[rule][1]).cast("double").alias("confidence"))
+    found = F.array_compact(F.array(*(F.when(test, said(rule)) for rule, test in checks.items())))
     return ast.select("*", F.explode(found).alias("m")).select("*", "m.*").drop("m")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The fields of a graph document.
 GRAPH = (
     "scan_id string, timestamp bigint, language string, tool string, version string, "
     "nodes array<struct<id:bigint,type:string,name:string,dataType:string,returnType:string,parameters:int,arguments:int,scope:string,className:string,initializer:string,expression:string,operator:string,"

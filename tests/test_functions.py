@@ -170,3 +170,8 @@ def test_rule_files_that_are_broken(spark):
     out = rules.parse_files(spark.createDataFrame(bodies, "path string, language string, content binary")).collect()
     assert [(r.rule_id, r.pattern, r.severity, r.cwe) for r in out if r.reason is None] == [("r", "p", "MEDIUM", ["CWE-1"])]
     assert sorted(r.source_file for r in out if r.reason) == ["a/w.yaml", "a/y.yaml", "a/z.yaml"]
+
+
+@pytest.mark.parametrize(("path", "expected"), [("a/../b.py", "/srv/b.py"), ("../../../x", "/x"), ("/a/./b/../c/..", "/a"), ("/..", "/"), ("C:/a/../b", "C:/b"), ("a..b/c", "/srv/a..b/c"), ("./a//b", "/srv/a/b"), (None, None)])
+def test_absolute_paths(spark, path, expected):
+    assert one(spark, text.absolute(F.lit(path), "/srv/"), x=1) == expected
