@@ -181,9 +181,13 @@ def stand_in(value: str) -> bool:
     if not words or any(drawn(w) for w in words):
         return False
     lower = [w.lower() for w in words]
-    if lower[0] in STAND_IN or lower[-1] in STAND_IN or "".join(lower) in STAND_IN:
+    if "".join(lower) in STAND_IN:
         return True
     parts = [w.lower() for word in words for w in CAMEL.findall(word)]
+    if any(len(p) == 1 and not p.isdigit() and p not in ("a", "x") for p in parts):  # letters on their own, as in drawn strings
+        return False
+    if lower[0] in STAND_IN or lower[-1] in STAND_IN:
+        return True
     return bool(parts) and (parts[-1] in ("here", "placeholder", "changeme") or parts[-2:] == ["replace", "me"] or (parts[0] in STAND_IN and not any(p.isdigit() for p in parts)))
 
 
