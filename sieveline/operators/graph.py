@@ -6,7 +6,7 @@ number of graphs. Identifiers needn't be unique and edges may dangle; look-ups u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -234,7 +234,7 @@ def as_documents(nodes: DataFrame, edges: DataFrame, **about: Column) -> DataFra
     """(scan_id, part, pos, document): graphs as JSON documents for storage or download (sinks 7 and 9).
 
     A row per node and edge, and one head per graph (part 'graph') with its counts and what `about` adds, such as the time
-    of the export. So a graph of any size is written without gathering it in one row; write them partitioned by scan_id.
+    of the export. So a graph of any size is written without gathering it in one row; write_graphs() stores the rows.
     """
     rest = lambda df: F.struct(*[c for c in df.columns if c not in ("scan_id", "pos")])
     n = nodes.select("scan_id", F.lit("node").alias("part"), F.col("pos").cast("bigint").alias("pos"), F.to_json(rest(nodes)).alias("document"))
@@ -244,9 +244,33 @@ def as_documents(nodes: DataFrame, edges: DataFrame, **about: Column) -> DataFra
     return head.unionByName(n).unionByName(e)
 
 
+#: Folders that stored graphs are spread over, each with whole graphs. Fixed, since what is appended later must meet what is there.
+FOLDERS = 64
+
+
+def _folder(scan_id: Column) -> Column:
+    """The folder of a graph, from a checksum that other programs have too."""
+    return F.coalesce(F.crc32(scan_id.cast("string").cast("binary")) % FOLDERS, F.lit(0)).cast("int")
+
+
 def write_graphs(nodes: DataFrame, edges: DataFrame, path: str, **about: Column) -> None:
-    """Store graphs as JSON lines, a folder per graph (sink 7)."""
-    as_documents(nodes, edges, **about).write.mode("append").partitionBy("scan_id", "part").json(path)
+    """Store graphs as compressed JSON lines in path/part=.../folder=... (sink 7); what is there already stays.
+
+    A folder per graph would make three folders and some files for each, so the number of graphs, not their size, would
+    decide how long it takes. Folders hold many graphs, and a graph's rows stand together in one folder per part. Rows
+    are brought together by folder; adaptive execution splits what is too large for a task, so a hot graph becomes several files.
+    """
+    docs = as_documents(nodes, edges, **about).withColumn("folder", _folder(F.col("scan_id")))
+    docs.hint("rebalance", F.col("part"), F.col("folder")).write.mode("append").partitionBy("part", "folder").json(path, compression="gzip")
+
+
+def read_graphs(spark: SparkSession, path: str, key: str = "bigint", scan_id: object = None) -> DataFrame:
+    """(scan_id, part, pos, document) as write_graphs() stored them. scan_id: of that graph alone, reading its folders only."""
+    rows = spark.read.schema(f"scan_id {key}, pos bigint, document string, part string, folder int").json(path)
+    if scan_id is not None:
+        wanted = F.lit(scan_id).cast(key)
+        rows = rows.filter((F.col("folder") == _folder(wanted)) & (F.col("scan_id") == wanted))
+    return rows.select("scan_id", "part", "pos", "document")
 
 
 def dot(nodes: DataFrame, edges: DataFrame, key: str = "scan_id") -> DataFrame:

@@ -131,9 +131,9 @@ def k7_documents(spark: SparkSession, d: str) -> DataFrame:
     n, e = tables(spark, d)
     path = scratch_path(spark, "graphs")
     graph.write_graphs(n.select("scan_id", "pos", "id", "type", "name"), e, path, exportedAt=F.lit("2026-01-01T00:00:00Z"))
-    rows = spark.read.schema("scan_id bigint, part string, pos bigint, document string").json(path)
-    at = lambda k: F.get_json_object("document", f"$.{k}")
-    return rows.select("scan_id", "part", "pos", F.coalesce(at("type"), at("exportedAt")).alias("what"), F.coalesce(at("id"), at("source"), at("totalNodes")).cast("bigint").alias("a"), F.coalesce(at("target"), at("totalEdges")).cast("bigint").alias("b"))
+    rows = graph.read_graphs(spark, path)
+    doc = F.from_json("document", "type string, exportedAt string, id bigint, source bigint, target bigint, totalNodes bigint, totalEdges bigint")
+    return rows.withColumn("d", doc).select("scan_id", "part", "pos", F.coalesce("d.type", "d.exportedAt").alias("what"), F.coalesce("d.id", "d.source", "d.totalNodes").alias("a"), F.coalesce("d.target", "d.totalEdges").alias("b"))
 
 
 def d14_rule_taint(spark: SparkSession, d: str) -> DataFrame:

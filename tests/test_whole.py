@@ -157,3 +157,18 @@ def test_rounds_that_are_replaced_go(spark):
     session.discard(first)
     kept = session.cut(spark.range(2))
     assert first._cut_path not in session._standing and kept._cut_path in session._standing
+
+
+def test_stored_graphs_share_folders(spark, rows, tmp_path):
+    """The number of folders and files doesn't grow with the number of graphs, and each graph comes back whole."""
+    path, times = str(tmp_path / "graphs"), 2
+    n = spark.range(600).selectExpr("case when id < 300 then concat('g\\n', id) when id < 599 then '' end as scan_id", "id as pos", "id", "'METHOD' as type", "'a\"b\\n' as name")
+    e = n.selectExpr("scan_id", "pos", "id as source", "id + 1 as target", "'CONTAINS' as type").filter("pos % 2 = 0")
+    for _ in range(times):  # the second time appends
+        graph.write_graphs(n, e, path, exportedAt=F.lit("now"))
+    folders = {p.parent for p in (tmp_path / "graphs").rglob("*.json*") if p.name[0] not in "._"}
+    assert len(folders) <= 3 * graph.FOLDERS < 3 * 302
+    whole = rows(graph.as_documents(n, e, exportedAt=F.lit("now")))
+    assert rows(graph.read_graphs(spark, path, "string")) == sorted(whole * times, key=repr) and len(whole) == 600 + 300 + 302
+    for one in ("g\n7", ""):
+        assert rows(graph.read_graphs(spark, path, "string", one)) == sorted([r for r in whole if r[0] == one] * times, key=repr)
